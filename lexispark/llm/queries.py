@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, secrets, urls
+from . import neardup, packing, secrets, urls
 from .common import read
 from .tokens import vocabulary
 
@@ -19,12 +19,16 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"))
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_url_filter, op4_packing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_url_filter, op3_minhash_dedup, op4_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
