@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, packing, secrets, urls
+from . import language, neardup, packing, quality, secrets, urls
 from .common import read
 from .tokens import vocabulary
 
@@ -27,8 +27,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rules(read(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = language.identify(docs, language.learn(docs))
+    return found.withColumn("held_out", language.held_out(found, "doc_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_url_filter, op3_minhash_dedup, op4_packing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_url_filter, op3_minhash_dedup, op4_packing, op7_quality_rules, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
