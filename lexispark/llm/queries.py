@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, neardup, packing, quality, secrets, urls
+from . import language, neardup, packing, pii, quality, secrets, urls
 from .common import read
 from .tokens import vocabulary
 
@@ -31,6 +31,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(read(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(read(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = language.identify(docs, language.learn(docs))
@@ -38,7 +42,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_url_filter, op3_minhash_dedup, op4_packing, op7_quality_rules, op9_language_id)}
+    found = (op1_secret_scan, op2_url_filter, op3_minhash_dedup, op4_packing, op7_quality_rules, op8_pii, op9_language_id)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
