@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language, neardup, packing, pii, quality, secrets, urls
+from . import language, nearest, neardup, packing, pii, quality, secrets, urls
 from .common import read
 from .tokens import vocabulary
 
@@ -27,6 +28,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(read(spark, sf_dir, "documents"))
 
@@ -42,7 +47,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_secret_scan, op2_url_filter, op3_minhash_dedup, op4_packing, op7_quality_rules, op8_pii, op9_language_id)
+    found = (op1_secret_scan, op2_url_filter, op3_minhash_dedup, op4_packing, op5_nearest_neighbours, op7_quality_rules, op8_pii, op9_language_id)
     return {f.__name__: f for f in found}
 
 
