@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, nearest, neardup, packing, pii, quality, secrets, urls
+from . import language, licenses, nearest, neardup, packing, pii, quality, secrets, urls
 from .common import read
 from .tokens import vocabulary
 
@@ -46,8 +46,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", language.held_out(found, "doc_id"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_secret_scan, op2_url_filter, op3_minhash_dedup, op4_packing, op5_nearest_neighbours, op7_quality_rules, op8_pii, op9_language_id)
+    found = (op1_secret_scan, op2_url_filter, op3_minhash_dedup, op4_packing, op5_nearest_neighbours, op7_quality_rules, op8_pii, op9_language_id, op10_license_scan)
     return {f.__name__: f for f in found}
 
 
