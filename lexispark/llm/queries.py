@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, nearest, neardup, packing, pii, quality, secrets, urls
+from . import language, licenses, nearest, neardup, packing, pieces, pii, quality, secrets, urls
 from .common import read
 from .tokens import vocabulary
 
@@ -32,6 +32,10 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.segment(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(read(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_secret_scan, op2_url_filter, op3_minhash_dedup, op4_packing, op5_nearest_neighbours, op7_quality_rules, op8_pii, op9_language_id, op10_license_scan)
+    found = (op1_secret_scan, op2_url_filter, op3_minhash_dedup, op4_packing, op5_nearest_neighbours, op6_sentencepiece, op7_quality_rules, op8_pii, op9_language_id, op10_license_scan)
     return {f.__name__: f for f in found}
 
 

@@ -49,6 +49,10 @@ class WordTable:
 
     def lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all words, joined, and the number of tokens of each word."""
+        return self.gather(self.index(words))
+
+    def index(self, words: pa.Array) -> np.ndarray:
+        """Rows of all words; rows beyond the bound hold until the next call only."""
         coded = words.dictionary_encode()
         texts = coded.dictionary.to_pylist()
         rows = self.rows
@@ -60,38 +64,33 @@ class WordTable:
             kept = set(keep)
             order = keep + [w for w in new if w not in kept]
             first = len(rows)
-            self._store(first, self.encode(order))
-            at = {w: first + i for i, w in enumerate(order)}  # rows beyond keep are overwritten by the next call
+            self._store(first, order)
+            at = {w: first + i for i, w in enumerate(order)}
             found = [at[w] if r is None else r for w, r in zip(texts, found)]
             rows.update((w, at[w]) for w in keep)
-        index = np.fromiter(found, np.int64, len(found))[coded.indices.to_numpy()]
+        return np.fromiter(found, np.int64, len(found))[coded.indices.to_numpy()]
+
+    def gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of rows, joined, and the number of tokens of each."""
         starts = self.offsets[index]
         counts = self.offsets[index + 1] - starts
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
         return self.ids[np.arange(total) + np.repeat(starts - ends + counts, counts)], counts
 
-    def _store(self, row: int, coded: Sequence[Sequence[int]]) -> None:
+    def _store(self, row: int, words: list[str]) -> None:
+        coded = self.encode(words)
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        ends = self.offsets[row] + np.cumsum(sizes)
-        if row + len(coded) + 1 > len(self.offsets):
-            self.offsets = np.concatenate([self.offsets, np.zeros(max(len(self.offsets), len(coded) + 1), np.int64)])
-        self.offsets[row + 1 : row + 1 + len(coded)] = ends
-        start, end = int(self.offsets[row]), int(ends[-1])
-        if end > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), end - start), np.int32)])
-        self.ids[start:end] = np.fromiter(chain.from_iterable(coded), np.int32, end - start)
-
-
-@lru_cache(maxsize=2)
-def fast_tokenizer(path: str):
-    """A tokenizer file of the ``tokenizers`` library; strings of special tokens in a text are ordinary text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+        self._put(row, sizes, np.fromiter(chain.from_iterable(coded), np.int32, int(sizes.sum())))
+
+    def _put(self, row: int, sizes: np.ndarray, ids: np.ndarray) -> None:
+        if row + len(sizes) + 1 > len(self.offsets):
+            self.offsets = np.concatenate([self.offsets, np.zeros(max(len(self.offsets), len(sizes) + 1), np.int64)])
+        start = int(self.offsets[row])
+        self.offsets[row + 1 : row + 1 + len(sizes)] = start + np.cumsum(sizes)
+        if start + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.int32)])
+        self.ids[start : start + len(ids)] = ids
 
 
 #: Characters of the plain Latin words that are cut and lower-cased here as the tokenizer file says.
