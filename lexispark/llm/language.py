@@ -24,6 +24,8 @@ from .tokens import by_text
 #: Expected documents for each language to learn from, and languages learned at most (the most frequent).
 SAMPLE = 500
 LANGUAGES = 256
+#: Score from which a prediction is accepted where documents are filtered.
+ACCEPTED = 0.3
 #: Hash buckets of the features.
 BITS = 15
 EPOCHS = 12

@@ -14,14 +14,15 @@ import hashlib
 import json
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_texts, typed
+from .common import map_texts, slices, typed
 
 
 @dataclass(frozen=True)
@@ -186,6 +187,26 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return map_texts(docs, id_col, text_col, schema, kernel, keep_null=True)
 
 
+def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """All rows and columns of ``docs`` with secrets in the text replaced by marks; a null text stays null.
+
+    ``length_col``, if given, becomes the new text's length in code points (null for null).
+    """
+    fields = docs.schema.fieldNames()
+    text_at, length_at = fields.index(text_col), fields.index(length_col) if length_col else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, column=text_at):
+            texts = [None if t is None else redact(t, find(t)) for t in piece.column(text_at).to_pylist()]
+            columns = list(piece.columns)
+            columns[text_at] = pa.array(texts, columns[text_at].type)
+            if length_at is not None:
+                columns[length_at] = pa.array([None if t is None else len(t) for t in texts], columns[length_at].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=piece.schema)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts of the base kinds, a digest of the base spans, and all spans of each row; empty texts as in :func:`scan`."""
     schema = T.StructType(
