@@ -7,9 +7,9 @@
    bucket's smallest one only, never with all others.
 3. Pairs are verified on the full shingle sets, in rounds: first one pair for each document,
    then what still joins two components, then, for buckets that still hold several
-   components, the pairs across them, compared block by block on whole signatures. No pair
-   is capped or sampled; only pairs inside one verified component are left out, as they can
-   change nothing.
+   components, all pairs across them, block by block: signatures drop what can't reach the
+   similarity, and full sets decide on the rest inside the task. No pair is capped or
+   sampled; only pairs inside one verified component are left out, as they can change nothing.
 4. Components of the verified links are found by large-star and small-star rounds.
 
 At similarity 0.8 a pair shares no band with probability (1 - 0.8**5)**32, about 3e-6.
@@ -177,21 +177,28 @@ def _shingles(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, sh
 
 
 def _divided(buckets: DataFrame, roots: DataFrame, reps: DataFrame, percent: int, m: int) -> DataFrame:
-    """Pairs ``a, b`` of different components that share a bucket and whose signatures agree enough.
-
-    In each bucket with several components the members of its largest one are never
-    compared with each other. Members are dealt into blocks; a task compares one pair of blocks.
+    """Members of still divided buckets that could be linked with another component there.
+
+    Buckets whose largest component is the same are compared together, so that a member of
+    a large group comes once and not once for each band. The largest component's own
+    members are never compared with each other. Members are dealt into blocks; a task
+    compares one pair of blocks by signatures. Returns ``main, x, y, against_main`` (the
+    task) and ``id, root, n, rest, signature`` of each member with a candidate in the task:
+    one row for a member and task, however many candidates it has there.
     """
     joined = buckets.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     parts = joined.groupBy("key", "root").agg(F.count("*").alias("size"))
-    heads = parts.groupBy("key").agg(F.max(F.struct("size", "root")).alias("top"), F.sum("size").alias("all"), F.count("*").alias("parts")).where("parts > 1")
-    heads = heads.select("key", F.col("top.root").alias("main"), F.col("top.size").alias("n_main"), (F.col("all") - F.col("top.size")).alias("n_rest"))
-    members = joined.join(heads, "key").join(reps.select("id", "n", "signature"), "id")
+    heads = parts.groupBy("key").agg(F.max(F.struct("size", "root")).alias("top"), F.sum("size").alias("all"), F.count("*").alias("parts"))
+    heads = heads.where("parts > 1 AND all > 2").select("key", F.col("top.root").alias("main"))  # two members were a star
+    members = cut(joined.join(heads, "key").select("main", "id", "root").distinct(), "members")
+    rest = F.col("root") != F.col("main")
+    sizes = members.groupBy("main").agg(F.count(F.when(~rest, 1)).alias("n_main"), F.count(F.when(rest, 1)).alias("n_rest"))
+    members = members.join(sizes, "main").join(reps.select("id", "n", "signature"), "id")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    spread = F.pmod(F.xxhash64("id"), F.when(F.col("root") == F.col("main"), blocks("n_main")).otherwise(blocks("n_rest"))).cast("int")
-    members = members.withColumn("rest", F.col("root") != F.col("main")).withColumn("block", spread)
+    spread = F.pmod(F.xxhash64("id"), F.when(rest, blocks("n_rest")).otherwise(blocks("n_main"))).cast("int")
+    members = members.withColumn("rest", rest).withColumn("block", spread)
     own, others = F.col("block"), F.sequence(F.lit(0), blocks("n_rest") - 1)
-    # a task is (rest block, main block or -1, rest block): the rest's blocks meet each other and the main ones
+    # a task is (block of the rest, block of the main ones) or two blocks of the rest
     for_main = F.transform(others, lambda r: F.struct(r.alias("x"), own.alias("y"), F.lit(True).alias("against_main")))
     for_rest = F.concat(
         F.transform(others, lambda r: F.struct(F.greatest(r, own).alias("x"), F.least(r, own).alias("y"), F.lit(False).alias("against_main"))),
@@ -201,20 +208,64 @@ def _divided(buckets: DataFrame, roots: DataFrame, reps: DataFrame, percent: int
     least = percent / 100 - _SLACK * float(np.sqrt(percent / 100 * (1 - percent / 100) / m))
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, roots_, n, rest = (table.column(c).to_numpy() for c in ("id", "root", "n", "rest"))
-        main = bool(table.column("against_main")[0].as_py())
-        signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(ids), m)
-        left = np.flatnonzero(rest)
-        right = np.flatnonzero(~rest) if main else left
-        found_a, found_b = [], []
-        for i in left.tolist():
-            near = right[(roots_[right] != roots_[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            near = near[(signatures[near] == signatures[i]).mean(axis=1) >= least] if len(near) else near
-            found_a += [int(ids[i])] * len(near)
-            found_b += ids[near].tolist()
-        return pa.table({"a": pa.array(np.maximum(found_a, found_b) if found_a else [], pa.int64()), "b": pa.array(np.minimum(found_a, found_b) if found_a else [], pa.int64())})
-
-    grouped = tasks.select("key", "task.*", "id", "root", "n", "rest", "signature").groupBy("key", "x", "y", "against_main")
+        near = np.zeros(len(table), bool)
+        for i, j in _candidates(table, percent, m, least):
+            near[i] = True
+            near[j] = True
+        return table.filter(pa.array(near))
+
+    columns = ["main", "x", "y", "against_main", "id", "root", "n", "rest", "signature"]
+    schema = "main long, x int, y int, against_main boolean, id long, root long, n long, rest boolean, signature binary"
+    return tasks.select("main", "task.*", "id", "root", "n", "rest", "signature").select(columns).groupBy(columns[:4]).applyInArrow(compare, schema)
+
+
+def _candidates(table: pa.Table, percent: int, m: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Each position of a task's left side with those on its right that size and signature allow, of other components."""
+    roots, n, rest = (table.column(c).to_numpy() for c in ("root", "n", "rest"))
+    signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(n), m)
+    left = np.flatnonzero(rest)
+    right = np.flatnonzero(~rest) if table.column("against_main")[0].as_py() else left
+    for i in left.tolist():
+        near = right[(roots[right] != roots[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+        near = near[(signatures[near] == signatures[i]).mean(axis=1) >= least] if len(near) else near
+        if len(near):
+            yield i, near
+
+
+def _joining(tasks: DataFrame, sets: DataFrame, percent: int, m: int) -> DataFrame:
+    """Links ``a, b`` that join components in the tasks of :func:`_divided`, on full sets.
+
+    Every candidate whose ends are in different components is compared in full; a task
+    gives out only links that join something not yet joined in it, so fewer than members.
+    """
+    least = percent / 100 - _SLACK * float(np.sqrt(percent / 100 * (1 - percent / 100) / m))
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy()
+        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(y, y)
+            return x
+
+        roots = table.column("root").to_pylist()
+        found = []
+        for i, near in _candidates(table, percent, m, least):
+            owned = own[i]
+            for j in near.tolist():
+                a, b = top(roots[i]), top(roots[j])
+                if a == b:
+                    continue
+                at = np.minimum(np.searchsorted(owned, own[j]), len(owned) - 1)
+                shared = int((owned[at] == own[j]).sum())
+                if 100 * shared >= percent * (len(owned) + len(own[j]) - shared):
+                    parent[a] = b
+                    found.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+        return pa.table({"a": pa.array([int(a) for a, _ in found], pa.int64()), "b": pa.array([int(b) for _, b in found], pa.int64())})
+
+    grouped = tasks.join(sets.select("id", "shingles"), "id").groupBy("main", "x", "y", "against_main")
     return grouped.applyInArrow(compare, "a long, b long").distinct()
 
 
@@ -256,12 +307,11 @@ def near_duplicates(
     if not more.isEmpty():
         links = links.union(more)
         roots = cut(components(links), "roots")
-    across = cut(_divided(shared.select("key", "id").distinct(), roots, reps, percent, bands * rows).join(stars, ["a", "b"], "left_anti"), "across")
-    if not across.isEmpty():
-        more = cut(verified(across, sets, percent), "verified")
+    tasks = cut(_divided(shared.select("key", "id").distinct(), roots, reps, percent, bands * rows), "divided")
+    if not tasks.isEmpty():
+        more = cut(_joining(tasks, sets, percent, bands * rows), "verified")
         if not more.isEmpty():
-            links = links.union(more)
-            roots = cut(components(links), "roots")
+            roots = cut(components(links.union(more)), "roots")
     labelled = reps.join(roots, "id", "left").select("print", F.coalesce("root", "id").alias("root"))
     out = with_set.join(labelled, "print").select("id", "n", "root")
     out = out.union(base.where("NOT (n > 0 AND id IS NOT NULL)").select("id", "n", "id"))
