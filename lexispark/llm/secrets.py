@@ -204,7 +204,8 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = N
                 columns[length_at] = pa.array([None if t is None else len(t) for t in texts], columns[length_at].type)
             yield pa.RecordBatch.from_arrays(columns, schema=piece.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    schema = T.StructType([T.StructField(f.name, f.dataType, f.nullable or f.name == length_col) for f in docs.schema.fields])
+    return docs.mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
