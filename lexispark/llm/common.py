@@ -72,6 +72,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = SLIC
                 start, size = i, 0
             size += int(n)
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
 
 def map_texts(
@@ -81,13 +82,14 @@ def map_texts(
     schema: T.StructType,
     kernel: Callable[[list, list[str]], dict[str, list]],
     keep_null: bool = False,
+    limit: int = SLICE_BYTES,
 ) -> DataFrame:
     """Rows that ``kernel(ids, texts)`` makes of each slice; a null text is an empty one unless ``keep_null``."""
     fields = schema.fieldNames()
     arrow = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches):
+        for piece in slices(batches, limit=limit):
             texts = piece.column(1).to_pylist()
             if not keep_null:
                 texts = ["" if t is None else t for t in texts]

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import map_texts, typed
 from .hashing import mix
-from .tokens import TABLE_WORDS, WordTable, sentence_processor
+from .tokens import TABLE_WORDS, TOKEN_SLICE, WordTable, sentence_processor
 
 NBEST = 5
 MARK = "▁"
@@ -50,6 +50,7 @@ class Lattice:
         self.score = np.array([p.get_score(i) for i in range(size)], np.float64)
         self.unknown_score = float(min(self.score[plain])) - _PENALTY
         self.longest = max(len(self.pieces[i]) for i in plain)
+        self.sizes = np.array([1 if p.is_unknown(i) else len(s) for i, s in enumerate(self.pieces)], np.int64)
         self.raw = [bytes([int(s[3:5], 16)]) if p.is_byte(i) else b"" if p.is_control(i) else s.encode() for i, s in enumerate(self.pieces)]
         several = [self.pieces[i] for i in plain if len(self.pieces[i]) > 1]
         apart = all(MARK not in s.lstrip(MARK) for s in several)
@@ -184,28 +185,46 @@ class _Solved(WordTable):
     def _store(self, row: int, words: list[str]) -> None:
         n = len(words)
         lengths = np.fromiter(map(len, words), np.int64, n)
-        best, loss, sizes = np.zeros(n), np.full(n, np.inf), np.zeros(n, np.int64)
-        coded: list[np.ndarray] = [np.zeros(0, np.int32)] * n
-        for size in np.unique(lengths[lengths <= _LONG]).tolist():
-            at = np.flatnonzero(lengths == size)
-            for part in np.array_split(at, -(-len(at) * size // 200_000)):
-                ids, counts, best[part], loss[part] = self.lattice.solve([words[i] for i in part.tolist()])
-                for i, x in zip(part.tolist(), np.split(ids, np.cumsum(counts)[:-1])):
-                    coded[i] = x
-        for i in np.flatnonzero(lengths > _LONG).tolist():
+        best, loss = np.zeros(n), np.full(n, np.inf)
+        ids, owner = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        order = np.argsort(lengths, kind="stable")
+        bounds = np.searchsorted(lengths[order], np.arange(1, _LONG + 2))
+        for size, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist()), 1):
+            for start in range(a, b, max(1, 200_000 // size)):
+                part = order[start : min(b, start + max(1, 200_000 // size))]
+                found, counts, best[part], loss[part] = self.lattice.solve([words[i] for i in part.tolist()])
+                ids.append(found)
+                owner.append(np.repeat(part, counts))
+        for i in order[bounds[-1] :].tolist():
             found = self.lattice.nbest(words[i], 2)
-            coded[i], best[i] = np.array(found[0][1], np.int32), found[0][0]
-            loss[i] = found[0][0] - found[1][0] if len(found) > 1 else np.inf
-        flat = np.concatenate(coded) if n else np.zeros(0, np.int32)
-        sizes = np.fromiter(map(len, coded), np.int64, n)
-        owner = np.repeat(np.arange(n), sizes)
-        for i in np.unique(owner[flat == self.lattice.unknown]).tolist():
-            coded[i] = np.array(self.lattice.spelled(coded[i].tolist(), words[i]), np.int32)
-        sizes = np.fromiter(map(len, coded), np.int64, n)
+            ids.append(np.array(found[0][1], np.int32))
+            owner.append(np.full(len(found[0][1]), i))
+            best[i], loss[i] = found[0][0], found[0][0] - found[1][0] if len(found) > 1 else np.inf
+        flat, own = np.concatenate(ids), np.concatenate(owner)
+        order = np.argsort(own, kind="stable")
+        flat, own = self._spelled(flat[order], own[order], words)
         while row + n > len(self.best):
             self.best, self.loss = np.concatenate([self.best, np.zeros(len(self.best))]), np.concatenate([self.loss, np.full(len(self.loss), np.inf)])
         self.best[row : row + n], self.loss[row : row + n] = best, loss
-        self._put(row, sizes, np.concatenate(coded) if n else flat)
+        self._put(row, np.bincount(own, minlength=n).astype(np.int64), flat)
+
+    def _spelled(self, flat: np.ndarray, own: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of all words with unknown characters as bytes, as :meth:`Lattice.spelled` does for one."""
+        at = np.flatnonzero(flat == self.lattice.unknown)
+        if not len(at) or len(self.lattice.byte_ids) < 256:
+            return flat, own
+        sizes = self.lattice.sizes[flat]
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        first = starts[np.searchsorted(own, own[at])]
+        spelled = [[self.lattice.byte_ids[b] for b in words[w][c].encode("utf-8", "surrogatepass")] for w, c in zip(own[at].tolist(), (starts[at] - first).tolist())]
+        times = np.ones(len(flat), np.int64)
+        times[at] = list(map(len, spelled))
+        out = np.repeat(flat, times)
+        begin = (np.cumsum(times) - times)[at]
+        for a, b in zip(begin.tolist(), spelled):
+            out[a : a + len(b)] = b
+        return out, np.repeat(own, times)
 
 
 @lru_cache(maxsize=2)
@@ -294,4 +313,4 @@ def segment(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             at, piece = end, piece + size
         return out
 
-    return map_texts(docs, id_col, text_col, schema, kernel)
+    return map_texts(docs, id_col, text_col, schema, kernel, limit=TOKEN_SLICE)

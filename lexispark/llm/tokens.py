@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that a worker's table keeps, and the longest word kept.
-TABLE_WORDS = 300_000
+TABLE_WORDS = 260_000
 TABLE_WORD_LENGTH = 48
 #: Bytes of text whose words are looked up at once.
 TOKEN_SLICE = 4 << 20
@@ -93,7 +93,7 @@ class WordTable:
         self.ids[start : start + len(ids)] = ids
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def fast_tokenizer(path: str):
     """A tokenizer file of the ``tokenizers`` library; strings of special tokens in a text are ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -104,6 +104,24 @@ def fast_tokenizer(path: str):
     return found
 
 
+_TABLES: dict[tuple[str, str], WordTable] = {}
+
+
+def _held(make: Callable[[str], WordTable]) -> Callable[[str], WordTable]:
+    """Keeps the two tables used last, of whatever kind: a worker serves one stage after another."""
+
+    def found(path: str) -> WordTable:
+        key = (make.__name__, path)
+        table = _TABLES.pop(key, None)
+        while table is None and len(_TABLES) > 1:
+            _TABLES.pop(next(iter(_TABLES)))
+        _TABLES[key] = table = table or make(path)
+        return table
+
+    found.__doc__ = make.__doc__
+    return found
+
+
 #: Characters of the plain Latin words that are cut and lower-cased here as the tokenizer file says.
 _LATIN = re.compile("[!-~\xa1-\xff]+")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
@@ -117,7 +135,7 @@ def _byte_characters() -> dict[int, int]:
     return dict(zip(plain, plain)) | {b: 256 + i for i, b in enumerate(rest)}
 
 
-@lru_cache(maxsize=2)
+@_held
 def fast_table(path: str) -> WordTable:
     """Word table of such a tokenizer, for a vocabulary that drops white space.
 
@@ -134,12 +152,13 @@ def fast_table(path: str) -> WordTable:
     if steps != ["NFC", "Replace", "Lowercase"] or first.get("pattern", {}).get("Regex") != _SPLIT:
         return WordTable(whole)
     model, table, parts = tokenizer.model, _byte_characters(), {}
+    shared = list(range(tokenizer.get_vocab_size()))  # one object for each id, however often it is held
 
     def part(p: str) -> list[int]:
         ids = parts.get(p)
         if ids is None:
-            ids = [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(table))]
-            if len(parts) < TABLE_WORDS and len(p) <= TABLE_WORD_LENGTH:
+            ids = [shared[t.id] for t in model.tokenize(p.encode().decode("latin-1").translate(table))]
+            if len(parts) < TABLE_WORDS // 3 and len(p) <= TABLE_WORD_LENGTH:
                 parts[p] = ids
         return ids
 
@@ -168,14 +187,14 @@ def sentence_processor(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-@lru_cache(maxsize=2)
+@_held
 def sentence_table(path: str) -> WordTable:
     """Word table of such a processor; a word counts with the space before it."""
     processor = sentence_processor(path)
     return WordTable(lambda words: processor.encode(words, num_threads=1) if words else [])
 
 
-@lru_cache(maxsize=2)
+@_held
 def ranks_table(path: str) -> WordTable:
     """Word table of a ``tiktoken`` ranks file; a word counts with the space before it."""
     import base64
