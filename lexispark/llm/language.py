@@ -21,9 +21,9 @@ from pyspark.sql import types as T
 from .common import _arrow_schema, slices, typed
 from .tokens import by_text
 
-#: Expected documents for each language to learn from, and languages learned at most (the most frequent).
+#: Expected documents for each language to learn from, and languages learned at most (the most frequent; at most 2,016 pairs of 128 KB each, whatever the families).
 SAMPLE = 500
-LANGUAGES = 256
+LANGUAGES = 64
 #: Score from which a prediction is accepted where documents are filtered.
 ACCEPTED = 0.3
 #: Hash buckets of the features.

@@ -97,14 +97,15 @@ ASSIGN = Kind(
 )
 ACCESS = Kind("access", ("akia",), re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20)
 HEX = re.compile("[0-9a-f]{24,}")
-#: What the method adds. Each has a checksum or a header that can be checked.
+#: What the method adds. Each has a checksum or a header that can be checked. Left edges and
+#: lengths are bounded, so that a text full of hits still takes time in proportion to it.
 MORE = (
     Kind("forge", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_"), re.compile("(?:gh[opsur]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"), _crc_suffix),
     Kind("wallet", ("xprv",), re.compile("xprv[1-9A-HJ-NP-Za-km-z]{107}(?![A-Za-z0-9])"), _base58check),
     Kind("agekey", ("age-secret-key-1",), re.compile("(?:AGE-SECRET-KEY-1[02-9AC-HJ-NP-Z]{58}|age-secret-key-1[02-9ac-hj-np-z]{58})(?![A-Za-z0-9])"), _bech32),
     Kind("nsec", ("nsec1",), re.compile("nsec1[02-9ac-hj-np-z]{58}(?![A-Za-z0-9])"), _bech32),
-    Kind("webtoken", ("eyj",), re.compile("eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]{20,}"), _web_token),
-    Kind("pem", ("-----begin ",), re.compile("-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----[A-Za-z0-9+/=:,\\s-]{64,}?-----END \\1-----"), _always),
+    Kind("webtoken", ("eyj",), re.compile("(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]{20,}"), _web_token),
+    Kind("pem", ("-----begin ",), re.compile("-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----[A-Za-z0-9+/=:,\\s-]{64,32768}?-----END \\1-----"), _always),
 )
 KINDS = (ASSIGN, ACCESS, *MORE)
 #: Order of kinds that start at one place: the base ones as their contract lists them, then the added ones.
