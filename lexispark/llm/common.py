@@ -6,9 +6,11 @@ session names in ``spark.checkpoint.dir``, so a lost executor only costs the tas
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -53,6 +55,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda keep: 0)
+
+
+def give_back() -> None:
+    """Returns what this worker has freed to the system, which would else count as the worker's."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def typed(df: DataFrame, name: str) -> T.DataType:
     """Type of a column, by exact name."""
     return next(f.dataType for f in df.schema.fields if f.name == name)
@@ -72,7 +85,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = SLIC
                 start, size = i, 0
             size += int(n)
         yield batch.slice(start)
-    pa.default_memory_pool().release_unused()  # the worker stays for other tasks
+    give_back()  # the worker stays for other tasks
 
 
 def map_texts(

@@ -7,6 +7,7 @@ The table stops growing at a bound; words beyond it are tokenised each time they
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -18,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import give_back
+
 #: Words that a worker's table keeps, and the longest word kept.
 TABLE_WORDS = 260_000
 TABLE_WORD_LENGTH = 48
@@ -104,22 +107,33 @@ def fast_tokenizer(path: str):
     return found
 
 
-_TABLES: dict[tuple[str, str], WordTable] = {}
+_TABLES: dict[tuple[str, str, str], WordTable] = {}
 
 
-def _held(make: Callable[[str], WordTable]) -> Callable[[str], WordTable]:
-    """Keeps the two tables used last, of whatever kind: a worker serves one stage after another."""
+def _held(stage: str) -> Callable[[Callable[[str], WordTable]], Callable[[str], WordTable]]:
+    """Keeps the two tables used last; a worker that comes to another kind of stage first drops what it has of the one before."""
 
-    def found(path: str) -> WordTable:
-        key = (make.__name__, path)
-        table = _TABLES.pop(key, None)
-        while table is None and len(_TABLES) > 1:
-            _TABLES.pop(next(iter(_TABLES)))
-        _TABLES[key] = table = table or make(path)
-        return table
+    def keep(make: Callable[[str], WordTable]) -> Callable[[str], WordTable]:
+        def found(path: str) -> WordTable:
+            key = (stage, make.__name__, path)
+            table = _TABLES.pop(key, None)
+            if table is None:
+                if any(k[0] != stage for k in _TABLES):
+                    _TABLES.clear()
+                    fast_tokenizer.cache_clear()
+                    sentence_processor.cache_clear()
+                while len(_TABLES) > 1:
+                    _TABLES.pop(next(iter(_TABLES)))
+                gc.collect()
+                give_back()
+                table = make(path)
+            _TABLES[key] = table
+            return table
 
-    found.__doc__ = make.__doc__
-    return found
+        found.__doc__ = make.__doc__
+        return found
+
+    return keep
 
 
 #: Characters of the plain Latin words that are cut and lower-cased here as the tokenizer file says.
@@ -135,7 +149,7 @@ def _byte_characters() -> dict[int, int]:
     return dict(zip(plain, plain)) | {b: 256 + i for i, b in enumerate(rest)}
 
 
-@_held
+@_held("packing")
 def fast_table(path: str) -> WordTable:
     """Word table of such a tokenizer, for a vocabulary that drops white space.
 
@@ -187,14 +201,14 @@ def sentence_processor(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-@_held
+@_held("fertility")
 def sentence_table(path: str) -> WordTable:
     """Word table of such a processor; a word counts with the space before it."""
     processor = sentence_processor(path)
     return WordTable(lambda words: processor.encode(words, num_threads=1) if words else [])
 
 
-@_held
+@_held("fertility")
 def ranks_table(path: str) -> WordTable:
     """Word table of a ``tiktoken`` ranks file; a word counts with the space before it."""
     import base64
