@@ -1,18 +1,22 @@
 """License scans: patience alignment of texts with license templates.
 
-An automaton over a few words of each template finds where it could stand in a text. The
-window there is aligned with the template: words that occur exactly once on both sides
+A template counts only if its telling words are all matched, so the places of the first of
+them in a text and in the template say where it could stand; case, white space and marks
+between words play no part. An automaton over these words passes most texts by. The
+window is aligned with the template: words that occur exactly once on both sides
 anchor it, the longest increasing subsequence of anchors is kept, and the gaps between them
 are aligned the same way. The share of the template's words that are matched is its
-coverage; a template counts from ``COVERAGE`` on, if its telling words are all matched.
+coverage; a template counts from ``COVERAGE`` on.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
+from math import ceil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -75,45 +79,47 @@ _UNLICENSE = (
 
 @dataclass(frozen=True)
 class Template:
-    """``keys`` (lower case) say where the text could stand; ``telling`` words must be matched."""
+    """All ``telling`` words (lower case) must be matched; the first, the rarest in running text, says where the text could stand."""
 
     name: str
     text: str
-    keys: tuple[str, ...]
     telling: tuple[str, ...]
 
 
 TEMPLATES = (
-    Template("MIT", _MIT_GRANT, ("permission is hereby granted", "noninfringement"), ("sublicense",)),
-    Template("BSD-3-Clause", _BSD_START + _BSD_NAME + _BSD_END, ("redistribution and use", "binary form must reproduce"), ("endorse", "binary")),
-    Template("BSD-2-Clause", _BSD_START + _BSD_END, ("redistribution and use", "binary form must reproduce"), ("binary",)),
-    Template("ISC", _ISC, ("permission to use", "author disclaims"), ("fee",)),
-    Template("Apache-2.0", _APACHE, ("apache license", "apache.org"), ("apache", "2.0")),
-    Template("GPL-3.0", _GPL.format("3"), ("gnu general public license",), ("gnu", "3")),
-    Template("GPL-2.0", _GPL.format("2"), ("gnu general public license",), ("gnu", "2")),
-    Template("MPL-2.0", _MPL, ("mozilla public license",), ("mozilla", "2.0")),
-    Template("Unlicense", _UNLICENSE, ("unencumbered software",), ("unencumbered",)),
-    Template("MIT", "Released under the MIT License.", ("mit license",), ("mit", "license")),
-    Template("MIT", "Licensed under the MIT License.", ("mit license",), ("mit", "licensed")),
-    Template("BSD-3-Clause", "Licensed under the BSD 3-Clause License.", ("bsd 3-clause",), ("bsd", "3-clause")),
-    Template("Apache-2.0", "Licensed under the Apache License, Version 2.0.", ("apache license",), ("apache", "2.0")),
-    Template("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", ("gnu general public license",), ("gnu", "3")),
-    Template("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.", ("gnu general public license",), ("gnu", "2")),
-    Template("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3.", ("lesser general public license",), ("lesser", "3")),
+    Template("MIT", _MIT_GRANT, ("sublicense",)),
+    Template("BSD-3-Clause", _BSD_START + _BSD_NAME + _BSD_END, ("endorse", "binary")),
+    Template("BSD-2-Clause", _BSD_START + _BSD_END, ("binary",)),
+    Template("ISC", _ISC, ("fee",)),
+    Template("Apache-2.0", _APACHE, ("apache", "2.0")),
+    Template("GPL-3.0", _GPL.format("3"), ("gnu", "3")),
+    Template("GPL-2.0", _GPL.format("2"), ("gnu", "2")),
+    Template("MPL-2.0", _MPL, ("mozilla", "2.0")),
+    Template("Unlicense", _UNLICENSE, ("unencumbered",)),
+    Template("MIT", "Released under the MIT License.", ("license", "mit")),
+    Template("MIT", "Licensed under the MIT License.", ("licensed", "mit")),
+    Template("BSD-3-Clause", "Licensed under the BSD 3-Clause License.", ("bsd", "3-clause")),
+    Template("Apache-2.0", "Licensed under the Apache License, Version 2.0.", ("apache", "2.0")),
+    Template("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", ("gnu", "3")),
+    Template("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.", ("gnu", "2")),
+    Template("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3.", ("lesser", "3")),
     *(
-        Template(f"CC-{x}-4.0", f"Licensed under CC {x} 4.0.", (f"cc {x.lower()} 4.0",), ("cc", x.lower(), "4.0"))
+        Template(f"CC-{x}-4.0", f"Licensed under CC {x} 4.0.", ("4.0", "cc", x.lower()))
         for x in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")
     ),
-    Template("CC0-1.0", "Released into the public domain under CC0 1.0.", ("cc0 1.0",), ("cc0", "1.0")),
+    Template("CC0-1.0", "Released into the public domain under CC0 1.0.", ("cc0", "1.0")),
 )
 
 
 def words(text: str) -> list[tuple[str, int, int]]:
     """Lower-case words with their places in code points."""
+    return [(m[0], m.start(), m.end()) for m in _WORD.finditer(_lower(text))]
+
+
+def _lower(text: str) -> str:
+    """Lower case with as many code points."""
     low = text.lower()
-    if len(low) != len(text):
-        low = "".join(c.lower() if c.isascii() else c for c in text)
-    return [(m[0], m.start(), m.end()) for m in _WORD.finditer(low)]
+    return low if len(low) == len(text) else "".join(c.lower() if c.isascii() else c for c in text)
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -170,67 +176,78 @@ def _once(words_: list[str], start: int, end: int) -> dict[str, int]:
 
 @lru_cache(maxsize=1)
 def _prepared():
+    """An automaton over all first telling words, the templates that each belongs to, and each template's words, their counts and that word's places."""
     import ahocorasick
 
-    automaton, owners, lists = ahocorasick.Automaton(), {}, []
+    automaton, owners, made = ahocorasick.Automaton(), {}, []
     for i, t in enumerate(TEMPLATES):
-        lists.append([w for w, _, _ in words(t.text)])
-        for key in t.keys:
-            owners.setdefault(key, []).append(i)
-    for key, own in owners.items():
-        automaton.add_word(key, (key, own))
+        own = [w for w, _, _ in words(t.text)]
+        made.append((own, Counter(own), [k for k, w in enumerate(own) if w == t.telling[0]]))
+        owners.setdefault(t.telling[0], []).append(i)
+    for word in owners:
+        automaton.add_word(word, len(word))
     automaton.make_automaton()
-    return automaton, lists
+    return automaton, owners, made
 
 
-@lru_cache(maxsize=None)
-def _place(own: tuple[str, ...], key: str) -> int:
-    want = [w for w, _, _ in words(key)]
-    return next((i + len(want) for i in range(len(own)) if list(own[i : i + len(want)]) == want), len(want))
+_INSIDE = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
-def _key_end(own: list[str], key: str) -> int:
-    """Words of a template up to the end of its key."""
-    return _place(tuple(own), key)
+def _mentions(low: str, automaton) -> bool:
+    """Whether one of the automaton's words could be a word of the text."""
+    return any(low[end + 1 : end + 2] not in _INSIDE and (end < size or low[end - size] not in _INSIDE) for end, size in automaton.iter(low))
 
 
 def find(text: str) -> list[tuple[str, int, int, float]]:
-    """``(license, start, end, coverage)`` of a text by start; overlapping finds leave the one with most matched words.
-
-    Line breaks in a text don't part the words of a key; other marks between words do.
-    """
-    automaton, lists = _prepared()
-    flat = text.lower().replace("\n", " ")
-    if len(flat) != len(text):
-        flat = "".join(c.lower() if c.isascii() else c for c in text).replace("\n", " ")
-    hits = [(end, key, i) for end, (key, own) in automaton.iter(flat) for i in own]
-    if not hits:
+    """``(license, start, end, coverage)`` of a text by start; overlapping finds leave the one with most matched words."""
+    automaton, owners, prepared = _prepared()
+    if not _mentions(_lower(text), automaton):
         return []
     tokens = words(text)
-    starts = [s for _, s, _ in tokens]
     plain = [w for w, _, _ in tokens]
-    made = []
-    for i in sorted({i for *_, i in hits}):
-        template, own = TEMPLATES[i], lists[i]
-        slack, after = 4 + len(own) // 4, 0
-        for end, key in sorted((e, key) for e, key, k in hits if k == i):
-            at = bisect_left(starts, end + 1)
-            if at <= after:  # inside what was matched before
-                continue
-            begin = at - _key_end(own, key)
-            best: list[tuple[int, int]] = []
-            for a, b in ((begin, begin + len(own)), (begin - slack, begin + len(own) + slack)):
-                a = max(after, a)
-                pairs = [(x + a, y) for x, y in _dense(align(plain[a:b], own), len(own))]
-                best = max(best, pairs, key=len)
-            if len(best) >= COVERAGE * len(own) and {own[y] for _, y in best}.issuperset(template.telling):
-                made.append((len(best), tokens[best[0][0]][1], tokens[best[-1][0]][2], template.name, len(best) / len(own)))
-                after = best[-1][0] + 1
+    places: dict[str, list[int]] = {}
+    for at, w in enumerate(plain):
+        if w in owners:
+            places.setdefault(w, []).append(at)
+    made = set()
+    for i in sorted(i for w in places for i in owners[w]):
+        template = TEMPLATES[i]
+        for pairs, size in _aligned(plain, places[template.telling[0]], template, *prepared[i]):
+            made.add((len(pairs), tokens[pairs[0][0]][1], tokens[pairs[-1][0]][2], template.name, len(pairs) / size))
     out: list[tuple[int, int, str, float]] = []
-    for _, s, e, name, share in sorted(made, key=lambda m: (-m[0], -m[4], m[1:4])):
-        if all(e <= s2 or s >= e2 for s2, e2, _, _ in out):
-            out.append((s, e, name, share))
-    return [(name, s, e, share) for s, e, name, share in sorted(out)]
+    for _, s, e, name, share in sorted(made, key=lambda m: (-m[0], -m[4], m[2] - m[1], m[1:4])):
+        k = bisect_left(out, (s,))
+        if (k == 0 or out[k - 1][1] <= s) and (k == len(out) or out[k][0] >= e):
+            insort(out, (s, e, name, share))
+    return [(name, s, e, share) for s, e, name, share in out]
+
+
+def _aligned(plain: list[str], at: list[int], template: Template, own: list[str], counts: Counter, places: list[int]):
+    """Matches of a template (and its size) in the words of a text, which has the first telling word ``at`` some places.
+
+    Each place of the word in the text is tried with each one in the template. A window that
+    shares too few words, in any order, with the template is left, and so are those so near
+    to it that they can't share enough: one step changes the number by one at most.
+    """
+    size, slack, least = len(own), 4 + len(own) // 4, ceil(COVERAGE * len(own))
+    clear = -size
+    whole = 0
+    for begin, key in sorted({(k - p, k) for k in at for p in places}):
+        if begin < clear or key < whole:
+            continue
+        window = Counter(plain[max(0, begin - slack) : begin + size + slack])
+        missing = least - sum(min(n, window[w]) for w, n in counts.items())
+        if missing > 0:
+            clear = begin + missing
+            continue
+        for a, b in ((begin, begin + size), (begin - slack, begin + size + slack)):
+            a = max(0, a)
+            pairs = [(x + a, y) for x, y in _dense(align(plain[a:b], own), size)]
+            if len(pairs) >= least and {own[y] for _, y in pairs}.issuperset(template.telling):
+                yield pairs, size
+                if len(pairs) == size == pairs[-1][0] + 1 - pairs[0][0]:  # nothing else there can be better
+                    whole = pairs[-1][0] + 1
+                    break
 
 
 def _dense(pairs: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:

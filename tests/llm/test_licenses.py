@@ -61,3 +61,26 @@ def test_odd_rows(docs_of):
     assert [(r["doc_id"], r["n_licenses"]) for r in found] == [(1, 0), (2, 0), (3, 1), (None, 1), (3, 0), (4, 1)]
     assert found[2]["licenses"] == "MIT:20:50" and found[0]["coverage"] == 0.0
     assert licenses.scan(docs_of([])).collect() == []
+
+
+MPL_HEADER = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */"
+
+
+@pytest.mark.parametrize("template", licenses.TEMPLATES, ids=lambda t: f"{t.name}-{len(t.text)}")
+@pytest.mark.parametrize("between", ["  ", "\r\n", "\n# ", "\n// ", "\n * ", "\t"])
+def test_marks_and_white_space_between_words(template, between):
+    text = between.join(template.text.split())
+    assert [(f[0], f[3]) for f in licenses.find(text)] == [(template.name, 1.0)]
+
+
+def test_usual_headers_and_damaged_keys():
+    assert [(n, c) for n, _, _, c in licenses.find(MPL_HEADER)] == [("MPL-2.0", 1.0)]
+    notice = next(t.text for t in licenses.TEMPLATES if t.name == "GPL-3.0" and "This program" in t.text)
+    damaged = notice.replace("GNU General", "GNV Genera", 1)
+    for text in (damaged, "GNU is a name. " * 3 + damaged):
+        found = licenses.find(text)
+        assert [f[0] for f in found] == ["GPL-3.0"] and found[0][3] > 0.95 and found[0][2] == len(text) - 1
+
+
+def test_many_key_words_stay_fast():
+    assert licenses.find("gnu " * 200_000 + "binary license " * 100_000) == []
