@@ -2,14 +2,15 @@
 
 Features are hashed 3- and 4-grams of bytes over the letters of the whole text, so that a
 text is scored in a few vector passes. One set of pairwise machines separates families; a
-second set, inside each family, separates its languages. All are trained on the driver from
-a sample whose size is bounded for each language.
+second set, inside each family, separates its languages. Many families are told apart in
+steps, by a tree of groups of them, so that the number of pairs grows with their number and
+not with its square. All are trained on the driver from a sample of bounded size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
@@ -21,9 +22,13 @@ from pyspark.sql import types as T
 from .common import _arrow_schema, slices, typed
 from .tokens import by_text
 
-#: Expected documents for each language to learn from, and languages learned at most (the most frequent; at most 2,016 pairs of 128 KB each, whatever the families).
+#: Expected documents for each language to learn from, and from which number of all on they are fewer for each (but not under LEAST).
 SAMPLE = 500
-LANGUAGES = 64
+ROWS = 64 * SAMPLE
+LEAST = 32
+#: Families up to which all pairs have a machine (of 128 KB), and the groups at each step beyond (about 4 pairs a family).
+FLAT = 16
+PARTS = 8
 #: Score from which a prediction is accepted where documents are filtered.
 ACCEPTED = 0.3
 #: Hash buckets of the features.
@@ -117,10 +122,11 @@ def machines(vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[str]) ->
 
 @dataclass
 class Model:
-    """The family machines, and the machines of each family by its name."""
+    """The family machines, the machines of each family by its name, and those of each group by the name that stands for it among families."""
 
     families: Machines
     inside: dict[str, Machines]
+    groups: dict[str, Machines] = field(default_factory=dict)
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[str | None]]:
         """Language, score and family of each text; ``und`` without letters."""
@@ -136,6 +142,14 @@ class Model:
 
         best, sure = self.families.votes(margins(self.families))
         langs, scores, families = [""] * len(texts), sure.copy(), [self.families.names[b] for b in best]
+        for name, own in self.groups.items():  # outer before inner
+            rows = np.array([f == name for f in families])
+            if rows.any():
+                at = buckets[np.repeat(rows, sizes)]
+                inner = np.stack([by_text(own.weights[:, k][at].astype(np.float64), sizes[rows]) for k in range(len(own.pairs))], axis=1) / norm[rows]
+                for i, p, s in zip(np.flatnonzero(rows).tolist(), *own.votes(inner)):
+                    families[i] = own.names[p]
+                    scores[i] = min(scores[i], s)
         for name, own in self.inside.items():
             rows = [i for i, f in enumerate(families) if f == name]
             if rows:
@@ -165,7 +179,42 @@ def train(texts: list[str], labels: list[str]) -> Model:
     for name in sorted(set(families)):
         own = [i for i, f in enumerate(families) if f == name]
         inside[name] = machines([vectors[i] for i in own], [rows[i][1] for i in own])
-    return Model(machines(vectors, families), inside)
+    names = sorted(set(families))
+    if len(names) <= FLAT:
+        return Model(machines(vectors, families), inside)
+    means = np.zeros((len(names), 1024))
+    which = {name: k for k, name in enumerate(names)}
+    for (at, x), f in zip(vectors, families):
+        np.add.at(means[which[f]], at % 1024, x / np.linalg.norm(x))
+    means /= np.linalg.norm(means, axis=1, keepdims=True)
+    mark = "\0"
+    while any(name.startswith(mark) for name in names):
+        mark += "\0"
+    made: dict[str, Machines] = {}
+    todo = [(mark, list(range(len(names))))]
+    for own, members in todo:
+        split = parts(means, members) if len(members) > PARTS else [[k] for k in members]
+        stands = {}
+        for n, part in enumerate(split):
+            name = names[part[0]] if len(part) == 1 else f"{own}{n}"
+            stands.update((names[k], name) for k in part)
+            if len(part) > 1:
+                todo.append((name, part))
+        rows_ = [i for i, f in enumerate(families) if f in stands]
+        made[own] = machines([vectors[i] for i in rows_], [stands[families[i]] for i in rows_])
+    return Model(made.pop(mark), inside, made)
+
+
+def parts(means: np.ndarray, members: list[int]) -> list[list[int]]:
+    """Members in ``PARTS`` groups of near means: the largest is halved, along its main direction, until they are so many."""
+    out = [members]
+    while len(out) < PARTS:
+        own = out.pop(max(range(len(out)), key=lambda k: len(out[k])))
+        apart = means[own] - means[own].mean(axis=0)
+        main = apart @ (apart.T @ np.linalg.eigh(apart @ apart.T)[1][:, -1])
+        order = [own[k] for k in np.argsort(main, kind="stable")]
+        out += [sorted(order[: len(own) // 2]), sorted(order[len(own) // 2 :])]
+    return out
 
 
 def held_out(docs: DataFrame, id_col: str):
@@ -176,14 +225,16 @@ def held_out(docs: DataFrame, id_col: str):
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Train on rows that are not held out and have a language and an id.
 
-    About ``sample`` rows of each language are taken, all if there are fewer, by a hash of
-    the id; the number is bounded by ``sample`` and ``LANGUAGES``, never by the table.
+    Every language with such a row is learned. About ``sample`` rows of each are taken, all
+    if there are fewer, by a hash of the id; beyond ``ROWS`` in all, about so many divided
+    by the number of languages, ``LEAST`` at least.
     """
     own = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].cast("string").alias("text"), docs[f"`{lang_col}`"].cast("string").alias("lang"), held_out(docs, id_col).alias("out"))
     own = own.where("NOT out AND id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return Model(Machines([], [], np.zeros((1 << BITS, 0), np.float32)), {})
+    sample = min(sample, max(LEAST, ROWS // len(counts)))
     places = 1 << 30
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(places, -(-places * sample // r["count"])))))
     rows = own.where(F.pmod(F.xxhash64("id"), F.lit(places)) < F.try_element_at(share, F.col("lang"))).select("id", "text", "lang").collect()

@@ -81,3 +81,20 @@ def test_training_leaves_out_the_held_out(spark):
     rows = [(i, "alpha beta gamma" if zlib.crc32(str(i).encode()) % 3 != 1 else "delta epsilon zeta", "en" if zlib.crc32(str(i).encode()) % 3 != 1 else "fr") for i in range(90)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert language.learn(docs).families.names == ["germanic"]
+
+
+def test_every_language_is_learned(spark):
+    import random
+
+    rng = random.Random(5)
+    codes = ["en", "de", *(f"q{i:02}" for i in range(78))]
+    vocabulary = {c: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for c in codes}
+    rows = [(80 * i + n, " ".join(rng.choices(vocabulary[c], k=12)), c) for i in range(14) for n, c in enumerate(codes)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs)
+    assert {x for own in model.inside.values() for x in own.names} == set(codes)
+    assert sum(len(m.pairs) for m in (model.families, *model.groups.values())) < 80 * 6
+    found = language.identify(docs.where(language.held_out(docs, "doc_id")), model, passing=("lang",)).collect()
+    assert len(found) > 200 and {r["lang_pred"] for r in found} == {r["_passing_lang"] for r in found}
+    assert sum(r["lang_pred"] == r["_passing_lang"] and r["score"] >= language.ACCEPTED for r in found) >= 0.98 * len(found)
+    assert all(r["family"] == language.FAMILY.get(r["lang_pred"], r["lang_pred"]) for r in found)
