@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import _arrow_schema, cut, slices, two_columns, typed
-from .tokens import TOKEN_SLICE, by_text, fast_table, split_words
+from .tokens import TOKEN_SLICE, FastWords, by_text, split_words
 
 SEQUENCE = 2048
 END = 1
@@ -34,8 +34,9 @@ _ROWS = 4096
 def tokenised(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
     """First pass: ``part, start, n, ids`` of each document, written to the shared folder.
 
-    ``ids`` holds little-endian unsigned 16- or 32-bit ids (``wide``); ``start`` is the
-    number of ids before the document in its part. A null text has the end token alone.
+    ``ids`` holds little-endian unsigned ids of :func:`width` bytes; ``start`` is the number
+    of ids before the document in its part. A null text has the end token alone. A text
+    beyond ``TOKEN_SLICE`` is tokenised stretch by stretch, so only its ids are held whole.
     """
     schema = T.StructType(
         [
@@ -43,35 +44,39 @@ def tokenised(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
             T.StructField("part", T.IntegerType()),
             T.StructField("start", T.LongType()),
             T.StructField("n", T.LongType()),
-            T.StructField("wide", T.BooleanType()),
             T.StructField("ids", T.BinaryType()),
         ]
     )
+    table = FastWords(vocabulary)
+    kind = f"<u{width(max(table.size, end + 1))}"
+    shared, closing = docs.sparkSession.sparkContext.broadcast(table), np.array([end], kind).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow, table, part, before = _arrow_schema(schema), fast_table(vocabulary), TaskContext.get().partitionId(), 0
+        arrow, words_of, part, before = _arrow_schema(schema), shared.value, TaskContext.get().partitionId(), 0
         for piece in slices(batches, limit=TOKEN_SLICE):
-            words, per_text = split_words(piece.column(1))
-            ids, counts = table.lookup(words)
-            sizes = by_text(counts, per_text).tolist()
-            out, at, starts = [], 0, []
-            for n in sizes:
-                own = ids[at : at + n]
-                kind = "<u4" if max(end, own.max(initial=0)) > 0xFFFF else "<u2"
-                out.append(own.astype(kind).tobytes() + np.array([end], kind).tobytes())
-                starts.append(before)
-                before += n + 1
-                at += n
-            ns = [n + 1 for n in sizes]
-            wide = [len(b) == 4 * n for b, n in zip(out, ns)]
+            if piece.num_rows == 1 and piece.column(1)[0].is_valid and piece.column(1).nbytes > 2 * TOKEN_SLICE:
+                out = [b"".join(x.astype(kind).tobytes() for x in words_of.ids(piece.column(1)[0].as_py())) + closing]
+            else:
+                words, per_text = split_words(piece.column(1))
+                ids, counts = words_of.lookup(words)
+                raw, size = memoryview(ids.astype(kind).tobytes()), np.dtype(kind).itemsize
+                ends = (np.cumsum(by_text(counts, per_text)) * size).tolist()
+                out = [bytes(raw[a:b]) + closing for a, b in zip([0, *ends], ends)]
+            ns = [len(b) // len(closing) for b in out]
+            starts = list(accumulate(ns, initial=before))
+            before = starts.pop()
             yield pa.RecordBatch.from_arrays(
-                [piece.column(0), pa.array([part] * len(ns), pa.int32()), pa.array(starts, pa.int64()), pa.array(ns, pa.int64()), pa.array(wide), pa.array(out, pa.binary())],
-                schema=arrow,
+                [piece.column(0), pa.array([part] * len(ns), pa.int32()), pa.array(starts, pa.int64()), pa.array(ns, pa.int64()), pa.array(out, pa.binary())], schema=arrow
             )
 
     return cut(two_columns(docs, id_col, text_col).mapInArrow(run, schema), "packing-ids")
 
 
+def width(ids: int) -> int:
+    """Bytes of an id of a vocabulary of so many."""
+    return 2 if ids <= 1 << 16 else 4
+
+
 def placed(ids: DataFrame) -> DataFrame:
     """``ids`` with ``begin``, each document's offset in the whole stream.
 
@@ -94,7 +99,8 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     ids before the piece), ``length``, ``ids_crc32`` (of little-endian unsigned 32-bit ids),
     ``doc_tokens``, ``sequence_id`` and ``offset``. Only the last sequence needs padding.
     Null and empty texts are the end token alone; repeated rows are packed once each; an
-    empty table has no pieces; order within the stream is the order of the input's rows.
+    empty table has no pieces; order within the stream is the order of the input's rows. A
+    very long text is tokenised in stretches and its pieces are given out in batches.
     """
     schema = T.StructType(
         [T.StructField(id_col, typed(docs, id_col))]
@@ -104,23 +110,23 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow, rows = _arrow_schema(schema), []
         for batch in batches:
-            for key, begin, n, wide, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                width = 4 if wide else 2
-                at = 0
+            for key, begin, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                size, at = len(raw) // n, 0
                 while at < n:
                     sequence, offset = divmod(begin + at, length)
                     take = min(length - offset, n - at)
-                    own = raw[width * at : width * (at + take)]
-                    own = own if wide else np.frombuffer(own, "<u2").astype("<u4").tobytes()
+                    own = raw[size * at : size * (at + take)]
+                    own = own if size == 4 else np.frombuffer(own, "<u2").astype("<u4").tobytes()
                     rows.append((key, at, take, zlib.crc32(own), n, sequence, offset))
                     at += take
-                if len(rows) >= _ROWS:
+                    if len(rows) < _ROWS:
+                        continue
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), arrow)], schema=arrow)
                     rows = []
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    return placed(tokenised(docs, vocabulary, id_col, text_col, end)).select("_id", "begin", "n", "wide", "ids").mapInArrow(run, schema)
+    return placed(tokenised(docs, vocabulary, id_col, text_col, end)).select("_id", "begin", "n", "ids").mapInArrow(run, schema)
 
 
 def sequences(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE, end: int = END, pad: int = 0) -> DataFrame:
@@ -134,19 +140,19 @@ def sequences(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow, held, begin = _arrow_schema(schema), np.zeros(0, np.int32), None
         for batch in batches:
-            for at, wide, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            for at, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 if begin is None or begin + len(held) != at:  # another part starts
                     if begin is not None and len(held):
                         yield _piece(arrow, begin, held, length)
                     begin, held = at, np.zeros(0, np.int32)
-                held = np.concatenate([held, np.frombuffer(raw, "<u4" if wide else "<u2").astype(np.int32)])
+                held = np.concatenate([held, np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int32)])
                 while len(held) >= (room := length - begin % length):
                     yield _piece(arrow, begin, held[:room], length)
                     begin, held = begin + room, held[room:]
         if begin is not None and len(held):
             yield _piece(arrow, begin, held, length)
 
-    made = placed(tokenised(docs, vocabulary, id_col, text_col, end)).select("begin", "wide", "ids").mapInArrow(run, schema)
+    made = placed(tokenised(docs, vocabulary, id_col, text_col, end)).select("begin", "n", "ids").mapInArrow(run, schema)
     made = cut(made, "packing-windows")
     whole = made.where(F.size("ids") == length).select("sequence_id", "ids")
     joined = F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"])

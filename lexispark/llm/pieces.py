@@ -8,16 +8,23 @@ in order of their scores, expanding nothing that can't be on one of them.
 No piece runs across a space mark that follows another character, so a text's lattice is a
 chain of independent ones, each of one word. Words are solved many at a time in vector
 passes (forward and backward scores, best path, and the loss of the second-best path), and
-distinct words once per worker. Only the few words of a text whose second-best path loses
-least can take part in its n best segmentations; the search runs on those.
+distinct words mostly once per worker. Only the few words of a text whose second-best path
+loses least can take part in its n best segmentations; the search runs on those.
+
+Scores are rounded to multiples of 2**-20, so that sums are exact and ties are ties. Of
+equal paths through a word, the one whose last differing piece is longer comes first; of
+equal segmentations of a text, the one with fewer words unlike the best one, then the one
+where those come earlier.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
+from heapq import nsmallest
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +33,17 @@ from pyspark.sql import types as T
 
 from .common import map_texts, typed
 from .hashing import mix
-from .tokens import TABLE_WORDS, TOKEN_SLICE, WordTable, sentence_processor
+from .tokens import TOKEN_SLICE, WordTable, sentence_processor
 
 NBEST = 5
 MARK = "▁"
 _BASE = 0x9E3779B97F4A7C15
 _PENALTY = 10.0
-#: Words longer than this are solved one by one.
+#: Words longer than this are solved one by one, by the same rules.
 _LONG = 64
+#: Bytes of words that a worker's table holds, words whose n best ways it holds, and words of a text that are solved at once.
+_HELD, _WAYS, _CHUNKS = 40 << 20, 60_000, 1 << 18
+_GRAIN = 1 << 20
 
 
 class Lattice:
@@ -41,13 +51,16 @@ class Lattice:
 
     def __init__(self, path: str):
         p = sentence_processor(path)
+        probe = "a  \uff21\ufb01 e\u0301\tb "
+        if p.normalize(probe) != MARK + probe.replace(" ", MARK):
+            raise ValueError("only models that keep texts as they are, with a space before them, can be searched")
         size = p.vocab_size()
         self.unknown = p.unk_id()
         self.pieces = [p.id_to_piece(i) for i in range(size)]
         plain = [i for i in range(size) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i))]
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in range(size) if p.is_byte(i)}
         self.ids = {self.pieces[i]: i for i in plain}
-        self.score = np.array([p.get_score(i) for i in range(size)], np.float64)
+        self.score = np.round(np.array([p.get_score(i) for i in range(size)], np.float64) * _GRAIN) / _GRAIN
         self.unknown_score = float(min(self.score[plain])) - _PENALTY
         self.longest = max(len(self.pieces[i]) for i in plain)
         self.sizes = np.array([1 if p.is_unknown(i) else len(s) for i, s in enumerate(self.pieces)], np.int64)
@@ -84,6 +97,12 @@ class Lattice:
         """The parts of a text with independent lattices; the space before the text is part of the first."""
         return self.chunk.findall(MARK + text.replace(" ", MARK)) if text else []
 
+    def blocks(self, text: str) -> Iterator[list[str]]:
+        """The same parts, ``_CHUNKS`` at a time."""
+        found = (m[0] for m in self.chunk.finditer(MARK + text.replace(" ", MARK))) if text else iter(())
+        while own := list(islice(found, _CHUNKS)):
+            yield own
+
     def solve(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of words of one length: pieces of the best path (rows flattened), their counts, best scores, and the second path's loss.
 
@@ -127,32 +146,63 @@ class Lattice:
         best = forward[:, size]
         return path[path >= 0], (path >= 0).sum(axis=1), best, best - second
 
+    def _edges(self, chunk: str, j: int) -> list[tuple[int, int, float]]:
+        """Length, id and score of the pieces that end at a place."""
+        out = []
+        for k in range(1, min(self.longest, j) + 1):
+            i = self.ids.get(chunk[j - k : j])
+            if i is not None:
+                out.append((k, i, float(self.score[i])))
+            elif k == 1:
+                out.append((1, self.unknown, self.unknown_score))
+        return out
+
     def nbest(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``n`` best (score, ids) of one chunk, best first; of equal ones, smaller ids first."""
+        """The ``n`` best (score, ids) of one chunk, best first.
+
+        The forward scores are exact, so an open suffix stands for a whole path already: its
+        own pieces, then the best way back. It is held as the places where it leaves the best
+        way (none for the best path), and the agenda never needs more than the ``n`` best of
+        these. Memory is a few numbers for each character, whatever the lattice.
+        """
         size = len(chunk)
-        forward, edges = [0.0] + [-np.inf] * size, []
+        forward, last = np.zeros(size + 1), np.zeros(size + 1, np.int32)
         for j in range(1, size + 1):
-            own = []
-            for k in range(1, min(self.longest, j) + 1):
-                i = self.ids.get(chunk[j - k : j])
-                if i is None and k == 1:
-                    own.append((j - 1, self.unknown, self.unknown_score))
-                elif i is not None:
-                    own.append((j - k, i, float(self.score[i])))
-            edges.append(own)
-            forward[j] = max(forward[i] + s for i, _, s in own)
-        agenda: list[tuple[float, tuple[int, ...], int, float]] = [(-forward[size], (), size, 0.0)]
+            best = -np.inf
+            for k, _, worth in self._edges(chunk, j):
+                value = forward[j - k] + worth
+                if value >= best:
+                    best, last[j] = value, k
+            forward[j] = best
+
+        def leaving(score: float, key: tuple, left: tuple, start: int) -> Iterator[tuple]:
+            """Suffixes that follow one to ``start``, then the best way, and leave it once more."""
+            j = start
+            while j > 0:
+                own = int(last[j])
+                for k, i, worth in self._edges(chunk, j):
+                    if k != own:
+                        side = (-1, -j, -k) if k > own else (1, j, -k)
+                        yield score + float(forward[j] - forward[j - k] - worth), (*key, side), (*left, (j, k)), j - k
+                j -= own
+
         out: list[tuple[float, tuple[int, ...]]] = []
-        while agenda and (len(out) < n or -agenda[0][0] == out[-1][0]):
-            _, ids, at, score = heappop(agenda)
-            if at == 0:
-                out.append((score, ids))
-                if len(out) >= 4 * n:
-                    break
-                continue
-            for i, piece, worth in edges[at - 1]:
-                heappush(agenda, (-(forward[i] + score + worth), (piece, *ids), i, score + worth))
-        return sorted(out, key=lambda x: (-x[0], x[1]))[:n]
+        agenda: list[tuple] = [(-float(forward[size]), (), (), size)]
+        order = lambda x: (x[0], (*x[1], (0,)))  # noqa: E731 - the end of the list stands for the best way
+        while agenda and len(out) < n:
+            score, key, left, start = agenda.pop(0)
+            out.append((-score, self._path(chunk, last, dict(left))))
+            rest = n - len(out)
+            agenda = sorted(agenda + nsmallest(rest, leaving(score, key, left, start), key=order), key=order)[:rest] if rest else []
+        return out
+
+    def _path(self, chunk: str, last: np.ndarray, left: dict[int, int]) -> tuple[int, ...]:
+        out, j = [], len(chunk)
+        while j > 0:
+            k = left.get(j, int(last[j]))
+            out.append(self.ids.get(chunk[j - k : j], self.unknown))
+            j -= k
+        return tuple(out[::-1])
 
     def spelled(self, ids: list[int], chunk: str) -> list[int]:
         """Ids with each unknown character as its bytes, if the model has byte pieces."""
@@ -177,7 +227,7 @@ class Lattice:
 class _Solved(WordTable):
     """A word table that also has each chunk's best score and second path's loss."""
 
-    def __init__(self, lattice: Lattice, limit: int = TABLE_WORDS):
+    def __init__(self, lattice: Lattice, limit: int = _HELD):
         super().__init__(lambda w: [], limit)
         self.lattice = lattice
         self.best, self.loss = np.zeros(1 << 12), np.full(1 << 12, np.inf)
@@ -227,90 +277,137 @@ class _Solved(WordTable):
         return out, np.repeat(own, times)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _table(path: str) -> tuple[Lattice, _Solved, dict]:
     lattice = Lattice(path)
     return lattice, _Solved(lattice), {}
 
 
-def _ways(lattice: Lattice, known: dict, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+def _ways(lattice: Lattice, known: dict, chunk: str, n: int) -> list[tuple[float, list[int]]]:
+    """The ``n`` best ways of a chunk with unknown characters spelled."""
     found = known.get((chunk, n))
     if found is None:
-        found = lattice.nbest(chunk, n)
-        if len(known) < TABLE_WORDS // 4 and len(chunk) < 48:
+        found = [(s, lattice.spelled(list(ids), chunk)) for s, ids in lattice.nbest(chunk, n)]
+        if len(known) < _WAYS and len(chunk) < WordTable.LONGEST:
             known[chunk, n] = found
     return found
 
 
+class _Text:
+    """The best segmentation of a text, block by block, and the words that lose least by leaving it."""
+
+    def __init__(self, n: int):
+        self.n, self.score, self.words, self.pieces = n, 0.0, 0, 0
+        self.ids: list[np.ndarray] = []
+        self.open: list[tuple[float, int, str, int, int]] = []
+
+    def add(self, chunks: list[str], best: np.ndarray, loss: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """More words: their best scores, losses, and pieces."""
+        self.score += float(best.sum())
+        self.ids.append(ids)
+        if self.n > 1 and len(chunks):
+            at = np.flatnonzero(loss <= np.partition(loss, self.n - 1)[self.n - 1]) if len(loss) > self.n else np.arange(len(loss))
+            ends = np.cumsum(counts)
+            for i in at[np.argsort(loss[at], kind="stable")][: self.n].tolist():
+                if loss[i] < np.inf:
+                    self.open.append((float(loss[i]), self.words + i, chunks[i], self.pieces + int(ends[i] - counts[i]), int(counts[i])))
+            self.open = sorted(self.open)[: self.n]
+        self.words += len(chunks)
+        self.pieces += len(ids)
+
+    def nbest(self, lattice: Lattice, known: dict) -> list[tuple[float, np.ndarray, bool]]:
+        """Score, ids, and whether each changed word still spells the same, of the ``n`` best segmentations."""
+        ids = np.concatenate(self.ids) if self.ids else np.zeros(0, np.int32)
+        totals: list[tuple[float, int, tuple]] = [(0.0, 0, ())]
+        for _, i, chunk, start, count in sorted(self.open, key=lambda x: x[1]):
+            ways = _ways(lattice, known, chunk, self.n)
+            more = [(lost + ways[0][0] - s, m + 1, (*key, (i, r, start, count, tuple(w), chunk))) for lost, m, key in totals for r, (s, w) in enumerate(ways[1:], 1)]
+            totals = nsmallest(self.n, totals + more)
+        out = []
+        for lost, _, key in totals:
+            own, at, same = [], 0, True
+            for _, _, start, count, way, chunk in key:
+                own += [ids[at:start], np.array(way, np.int32)]
+                at = start + count
+                same &= b"".join(map(lattice.raw.__getitem__, way)) == chunk.encode("utf-8", "surrogatepass")
+            out.append((self.score - lost, np.concatenate([*own, ids[at:]]) if own else ids, same))
+        return out
+
+
+def _solved(texts: list[str], path: str, n: int) -> Iterator[_Text]:
+    """The texts in order; a long one is solved block by block, short ones together."""
+    lattice, table, _ = _table(path)
+
+    def solve(flat: list[str]) -> tuple[np.ndarray, ...]:
+        rows = table.index(pa.array(flat, pa.string()))
+        return table.best[rows], table.loss[rows], *table.gather(rows)
+
+    if len(texts) == 1 and len(texts[0]) > TOKEN_SLICE // 4:
+        made = _Text(n)
+        for block in lattice.blocks(texts[0]):
+            made.add(block, *solve(block))
+        yield made
+        return
+    lists = [lattice.chunks(t) for t in texts]
+    best, loss, ids, counts = solve([c for x in lists for c in x])
+    at = piece = 0
+    for own in lists:
+        made, end = _Text(n), at + len(own)
+        size = int(counts[at:end].sum())
+        made.add(own, best[at:end], loss[at:end], ids[piece : piece + size], counts[at:end])
+        yield made
+        at, piece = end, piece + size
+
+
 def encode_nbest(text: str, path: str, n: int = NBEST) -> list[tuple[float, list[int]]]:
     """The ``n`` best segmentations of a text with their scores, best first; an empty text has one, without pieces."""
     lattice, _, known = _table(path)
-    totals: list[tuple[float, tuple[tuple[int, ...], ...]]] = [(0.0, ())]
-    chunks = lattice.chunks(text)
-    for c in chunks:
-        ways = _ways(lattice, known, c, n)
-        totals = sorted(((a + s, (*x, ids)) for a, x in totals for s, ids in ways), key=lambda t: (-t[0], t[1]))[:n]
-    return [(s, [i for ids, c in zip(x, chunks) for i in lattice.spelled(list(ids), c)]) for s, x in totals]
+    return [(s, ids.tolist()) for t in _solved([text], path, n) for s, ids, _ in t.nbest(lattice, known)]
 
 
 def segment(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", n: int = NBEST, ids: bool = False) -> DataFrame:
-    """Best segmentation and the scores of the ``n`` best of each row.
-
-    Columns: the id, ``n_pieces``, ``n_bytes`` (byte pieces among them), ``score``,
-    ``ids_crc32`` (of little-endian unsigned 32-bit ids), ``nbest_scores`` (descending; fewer
-    if the text has fewer segmentations), ``round_trip`` (whether decoding gives the text;
-    false if it has the space mark itself or lone surrogates), and ``ids`` if asked for. Null
-    and empty texts have no pieces, score 0 and one segmentation; repeated rows are each
-    encoded; other columns are ignored; an empty table gives no rows.
+    """The ``n`` best segmentations of each row.
+
+    Columns: the id, ``n_pieces``, ``n_bytes`` (byte pieces among them) and ``score`` of the
+    best one; ``nbest_crc32`` (of little-endian unsigned 32-bit ids) and ``nbest_scores`` of
+    all, best first (fewer if the text has fewer); ``round_trip`` (whether decoding each of
+    them gives the text; false if it has the space mark itself or lone surrogates); and
+    ``nbest_ids`` if asked for. Null and empty texts have one segmentation, without pieces
+    and with score 0; repeated rows are each encoded; other columns are ignored; an empty
+    table gives no rows. A very long text is solved block by block, and a very long word in
+    memory that grows with its length; ties are settled as the module says.
     """
     fields = [
         T.StructField(id_col, typed(docs, id_col)),
         T.StructField("n_pieces", T.LongType()),
         T.StructField("n_bytes", T.LongType()),
         T.StructField("score", T.DoubleType()),
-        T.StructField("ids_crc32", T.LongType()),
+        T.StructField("nbest_crc32", T.ArrayType(T.LongType())),
         T.StructField("nbest_scores", T.ArrayType(T.DoubleType())),
         T.StructField("round_trip", T.BooleanType()),
     ]
-    schema = T.StructType(fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * ids)
+    schema = T.StructType(fields + [T.StructField("nbest_ids", T.ArrayType(T.ArrayType(T.IntegerType())))] * ids)
 
     def kernel(keys: list, texts: list[str]) -> dict[str, list]:
-        lattice, table, known = _table(path)
+        lattice, _, known = _table(path)
         is_byte = np.zeros(len(lattice.pieces), bool)
         is_byte[list(lattice.byte_ids.values())] = True
-        lists = [lattice.chunks(t) for t in texts]
-        flat = [c for x in lists for c in x]
-        rows = table.index(pa.array(flat, pa.string()))
-        best, loss = table.best[rows], table.loss[rows]
-        made, counts = table.gather(rows)
         out: dict[str, list] = {f.name: [] for f in schema.fields}
-        at = piece = 0
-        for key, text, own in zip(keys, texts, lists):
-            end = at + len(own)
-            size = int(counts[at:end].sum())
-            got = made[piece : piece + size]
-            losses = loss[at:end]
-            least = np.argpartition(losses, n - 1)[:n].tolist() if len(losses) > n else range(len(losses))
-            totals = [0.0]
-            for i in least:
-                if losses[i] < np.inf:
-                    ways = _ways(lattice, known, flat[at + i], n)
-                    totals = sorted(a + ways[0][0] - s for a in totals for s, _ in ways)[:n]
-            score = float(best[at:end].sum())
-            values = got.tolist()
+        for key, text, made in zip(keys, texts, _solved(texts, path, n)):
+            found = made.nbest(lattice, known)
+            best = found[0][1]
             for name, value in (
                 (id_col, key),
-                ("n_pieces", size),
-                ("n_bytes", int(is_byte[got].sum())),
-                ("score", score),
-                ("ids_crc32", zlib.crc32(got.astype("<u4").tobytes())),
-                ("nbest_scores", [score - t for t in totals]),
-                ("round_trip", lattice.decode(values) == text),
+                ("n_pieces", len(best)),
+                ("n_bytes", int(is_byte[best].sum())),
+                ("score", found[0][0]),
+                ("nbest_crc32", [zlib.crc32(x.astype("<u4").tobytes()) for _, x, _ in found]),
+                ("nbest_scores", [s for s, _, _ in found]),
+                ("round_trip", all(same for *_, same in found) and lattice.decode(best.tolist()) == text),
             ):
                 out[name].append(value)
             if ids:
-                out["ids"].append(values)
-            at, piece = end, piece + size
+                out["nbest_ids"].append([x.tolist() for _, x, _ in found])
         return out
 
     return map_texts(docs, id_col, text_col, schema, kernel, limit=TOKEN_SLICE)

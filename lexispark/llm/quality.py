@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _arrow_schema, slices, typed
+from .common import _arrow_schema, slices, typed, words_of
 from .hashing import mix, windows, word_hashes
-from .tokens import by_text, ranks_table, sentence_processor, sentence_table, split_words, vocabulary
+from .tokens import by_text, ranks_coding, sentence_processor, stretches, vocabulary
 
 #: Bytes of text handled at once.
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 WINDOW = 5
+#: Characters of a text that are tokenised at once, and of a word: a longer one counts as several of so many.
+_STRETCH, _WORD = 1 << 18, 4096
 
 
 @dataclass(frozen=True)
@@ -49,8 +51,6 @@ FULL = 512
 #: Measures of a short text scatter: the lower bounds give way by this over the root of its tokens.
 SLACK = 0.3
 
-_SYMBOL = np.zeros(256, bool)
-_SYMBOL[list(b"#*$%&|<>")] = True
 _SCRIPT = np.zeros(256, np.int8)  # 0: no letter, or a continuation byte
 _SCRIPT[[*range(65, 91), *range(97, 123), *range(0xC3, 0xCB)]] = 1
 _SCRIPT[0xD0:0xD5] = 2
@@ -66,41 +66,60 @@ def script(text: str) -> str:
 def repeated_words(hashes: np.ndarray, first: np.ndarray, k: int = WINDOW) -> np.ndarray:
     """By text, the words that lie in a ``k``-word window that its text has twice or more."""
     runs = windows(hashes, k)
-    own = np.repeat(np.arange(len(first) - 1), np.diff(first))
     if not len(runs):
         return np.zeros(len(first) - 1, np.int64)
-    at = np.flatnonzero(own[: len(runs)] == own[k - 1 :])
-    keys = mix(runs[at] + own[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    order = np.argsort(keys)
-    same = keys[order[1:]] == keys[order[:-1]]
-    twice = np.zeros(len(keys), bool)
-    twice[order[1:][same]] = twice[order[:-1][same]] = True
-    cover = np.zeros(len(hashes) + 1, np.int64)
-    cover[at[twice]] += 1
-    np.subtract.at(cover, at[twice] + k, 1)
-    return by_text((np.cumsum(cover[:-1]) > 0).astype(np.int64), np.diff(first))
-
-
-def fertility(texts: pa.Array, pieces: str, ranks: str) -> dict[str, np.ndarray]:
+    if len(first) == 2:
+        keys, at = runs, None
+    else:
+        own = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        at = np.flatnonzero(own[: len(runs)] == own[k - 1 :])
+        keys = mix(runs[at] + own[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.sort(keys)
+    several = np.unique(order[1:][order[1:] == order[:-1]])
+    cover = np.zeros(len(hashes) + 1, np.int8)
+    if len(several):
+        place = np.minimum(np.searchsorted(several, keys), len(several) - 1)
+        twice = np.flatnonzero(several[place] == keys)
+        twice = twice if at is None else at[twice]
+        for i in range(k):
+            cover[twice + i] = 1
+    return by_text(cover[:-1], np.diff(first))
+
+
+def _spaced(text: str) -> tuple[str, int]:
+    """The words of a text with one space between them, and the characters in them."""
+    words = words_of(text)
+    if len(text) > _WORD and max(map(len, words), default=0) > _WORD:
+        words = [w[a : a + _WORD] for w in words for a in range(0, len(w), _WORD)]
+    joined = " ".join(words)
+    return joined, len(joined) - max(0, len(words) - 1)
+
+
+def fertility(texts: list[str], pieces: str, ranks: str) -> dict[str, np.ndarray]:
     """Of each text: tokens, characters per token in both vocabularies, byte share and entropy; a word counts with a space before it."""
-    words, per_text = split_words(texts)
-    characters = by_text(pc.utf8_length(words).to_numpy(), per_text)
-    ids, counts = sentence_table(pieces).lookup(words)
-    tokens = by_text(counts, per_text)
-    processor = sentence_processor(pieces)
+    processor, coding = sentence_processor(pieces), ranks_coding(ranks)
     is_byte = np.fromiter(map(processor.is_byte, range(processor.vocab_size())), bool)
-    own = np.repeat(np.arange(len(tokens)), tokens)
-    found, times = np.unique(own * len(is_byte) + ids, return_counts=True)
-    of = found // len(is_byte)
-    share = times / tokens[of]
-    entropy = np.bincount(of, -share * np.log2(share), minlength=len(tokens))
-    _, other = ranks_table(ranks).lookup(words)
+    tokens, others, characters, in_bytes = (np.zeros(len(texts), np.int64) for _ in range(4))
+    entropy = np.zeros(len(texts))
+    for k, text in enumerate(texts):
+        times = np.zeros(1, np.int64)
+        for part in stretches(text, _STRETCH):
+            joined, size = _spaced(part)
+            characters[k] += size
+            others[k] += len(coding.encode_ordinary(" " + joined)) if size else 0
+            own = np.bincount(np.array(processor.encode(joined), np.int64), minlength=len(times))
+            own[: len(times)] += times
+            times = own
+        tokens[k] = times.sum()
+        in_bytes[k] = times[is_byte[: len(times)]].sum()
+        share = times[times > 0] / max(1, tokens[k])
+        entropy[k] = -(share * np.log2(share)).sum()
     some = np.maximum(tokens, 1)
     return {
         "n_tokens": tokens,
         "pieces": characters / some,
-        "ranks": characters / np.maximum(by_text(other, per_text), 1),
-        "bytes": by_text(is_byte[ids].astype(np.int64), tokens) / some,
+        "ranks": characters / np.maximum(others, 1),
+        "bytes": in_bytes / some,
         "entropy": entropy / np.log2(np.clip(tokens, 2, FULL)),
     }
 
@@ -130,7 +149,9 @@ def rules(
     ``n_tokens``, the measures (double), ``rejected_by`` (comma-joined), then the columns
     named in ``passing`` as they came. A null or empty text has no words and fails; a null
     or unknown language is judged by its script; repeated rows are each judged; other
-    columns are ignored; an empty table gives no rows.
+    columns are ignored; an empty table gives no rows. A very long text is hashed and
+    tokenised in stretches (about 6 bytes of memory for each of its bytes); a word of more
+    than 4,096 characters is tokenised as several of so many.
     """
     pieces, ranks = pieces or vocabulary("piece_bpe_32k.model"), ranks or vocabulary("byte_bpe_multi_50k.tiktoken")
     count_names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -152,18 +173,16 @@ def rules(
             texts = column.to_pylist()
             hashes, first, points = word_hashes(texts, fold=False)
             n_words = np.diff(first)
-            raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-            symbols = _SYMBOL[np.frombuffer(b"".join(raw), np.uint8)]
             lines = [[x for x in t.split("\n") if x.strip(" \t\n\v\f\r")] for t in texts]
             counts = {
                 "n_words": n_words,
                 "word_chars": by_text(points, n_words),
-                "n_symbols": by_text(symbols.astype(np.int64), np.array([len(r) for r in raw], np.int64)),
+                "n_symbols": np.array([sum(map(t.count, "#*$%&|<>")) for t in texts], np.int64),
                 "n_dup_lines": np.array([len(x) - len(set(x)) for x in lines], np.int64),
                 "n_repeat_words": repeated_words(hashes, first),
             }
             failed = (n_words < 10) | (100 * counts["n_repeat_words"] > 20 * n_words)
-            found = fertility(column, pieces, ranks)
+            found = fertility(texts, pieces, ranks)
             rejected = []
             for i, (lang, text) in enumerate(zip(piece.column(2).to_pylist(), texts)):
                 band = languages.get(lang) or scripts[script(text)]

@@ -1,17 +1,16 @@
-"""Public tokenizers behind a per-worker table of white-space words.
+"""Public tokenizers over many texts at once.
 
-Running text repeats its words, and the vocabularies used here never join text across the
-word boundaries that the callers cut at, so each distinct word is tokenised once per worker.
-The table stops growing at a bound; words beyond it are tokenised each time they come.
+The vocabularies used here never join text across the white space that the callers cut at,
+so each distinct word of a slice of texts is tokenised once. Nothing is held from slice to
+slice but the vocabularies themselves, so a worker's memory doesn't grow with its work.
 """
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
@@ -19,13 +18,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import give_back
-
-#: Words that a worker's table keeps, and the longest word kept.
-TABLE_WORDS = 260_000
-TABLE_WORD_LENGTH = 48
 #: Bytes of text whose words are looked up at once.
-TOKEN_SLICE = 4 << 20
+TOKEN_SLICE = 2 << 20
+#: Byte-pair merging by rows of symbols takes parts of up to so many bytes, and so many symbols at once.
+ROW_BYTES = 64
+_SYMBOLS = 1 << 19
+_NONE = np.iinfo(np.int32).max
+_SPACES = re.compile("[\x20\x09-\x0d]+")
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -41,19 +40,213 @@ def by_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return sums[ends] - sums[ends - counts]
 
 
+def stretches(text: str, limit: int) -> Iterator[str]:
+    """A text in stretches of about ``limit`` characters that end at white space; a longer word is not cut."""
+    at = 0
+    while len(text) - at > limit and (space := _SPACES.search(text, at + limit)):
+        yield text[at : space.start()]
+        at = space.end()
+    yield text[at:]
+
+
+def picked(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``flat[starts[i] : starts[i] + counts[i]]`` for all ``i`` of an index, joined, and their lengths."""
+    sizes = counts[index]
+    ends = np.cumsum(sizes)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[index] - ends + sizes, sizes)], sizes
+
+
+class Merges:
+    """Byte-pair merging of many short strings at once.
+
+    ``pairs`` are (left, right, made) symbols by rank. Every string is a row of symbols; a
+    round merges in each row the leftmost pair of the lowest rank, so all rows are one
+    symbol shorter after it; rows without a pair to merge are finished and leave.
+    """
+
+    def __init__(self, pairs: np.ndarray):
+        self.made = np.ascontiguousarray(pairs[:, 2], np.int32)
+        self.keys = pairs[:, 0].astype(np.uint64) << np.uint64(32) | pairs[:, 1].astype(np.uint64)
+        self.bits = max(10, int(len(pairs)).bit_length() + 2)
+        self.slots, self.next = np.full(1 << self.bits, -1, np.int32), np.full(len(pairs) + 1, -1, np.int32)
+        for i, slot in enumerate(self._slot(self.keys).tolist()):
+            self.next[i], self.slots[slot] = self.slots[slot], i
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys ^ keys >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols, a large number where there is none; negative symbols have none."""
+        keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64) & np.uint64(0xFFFFFFFF)
+        found = self.slots[self._slot(keys)]
+        wrong = np.flatnonzero((found >= 0) & (self.keys[found] != keys))
+        while len(wrong):
+            found[wrong] = self.next[found[wrong]]
+            own = found[wrong]
+            wrong = wrong[(own >= 0) & (self.keys[own] != keys[wrong])]
+        return np.where(found >= 0, found, _NONE).astype(np.int32)
+
+    def merge(self, rows: np.ndarray) -> np.ndarray:
+        """Rows of symbols, -1 at their ends, after all merges."""
+        n, width = rows.shape
+        out, own = np.full((n, width), -1, np.int32), np.arange(n)
+        ranks = self.rank(rows[:, :-1].reshape(-1), rows[:, 1:].reshape(-1)).reshape(n, width - 1)
+        while len(own):
+            if rows.shape[1] == 1:
+                out[own, :1] = rows
+                break
+            at = ranks.argmin(axis=1)
+            low = ranks[np.arange(len(own)), at]
+            done = low == _NONE
+            if done.any():
+                out[own[done], : rows.shape[1]] = rows[done]
+                more = ~done
+                rows, ranks, own, at, low = rows[more], ranks[more], own[more], at[more], low[more]
+            if not len(own):
+                break
+            all_ = np.arange(len(own))
+            rows[all_, at] = self.made[low]
+            places = np.arange(rows.shape[1] - 1)
+            rows = np.take_along_axis(rows, places + (places > at[:, None]), axis=1)
+            ranks = np.take_along_axis(ranks, places[:-1] + (places[:-1] >= at[:, None]), axis=1)
+            for shift, some in ((-1, np.flatnonzero(at > 0)), (0, np.flatnonzero(at < rows.shape[1] - 1))):
+                j = at[some] + shift
+                ranks[some, j] = self.rank(rows[some, j], rows[some, j + 1])
+        return out
+
+
+@lru_cache(maxsize=1)
+def fast_tokenizer(path: str):
+    """A tokenizer file of the ``tokenizers`` library; strings of special tokens in a text are ordinary text."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.encode_special_tokens = True
+    return found
+
+
+#: Characters of the plain Latin words that are cut and lower-cased here as the tokenizer file says.
+_LATIN = "^[!-~\xa1-\xff]+$"
+_PARTS = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\na-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class FastWords:
+    """Token ids of white-space words by a ``tokenizers`` file, for a vocabulary that drops white space.
+
+    Where the file is a byte-level byte-pair model with the lower-casing word splitter that
+    ``_SPLIT`` names, plain Latin words are cut here and their distinct parts merged by
+    :class:`Merges`; all other words and files go through the library. The file is read
+    where this is made; workers get the merges as arrays and open the file only for the rest.
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [n.get("type") for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        model = spec["model"]
+        vocab = model.get("vocab", {})
+        self.size = len(vocab) + len(spec.get("added_tokens", []))
+        end, characters = model.get("end_of_word_suffix") or "", _byte_characters()
+        self.merges = None
+        plain = steps == ["NFC", "Replace", "Lowercase"] and cuts[0].get("pattern", {}).get("Regex") == _SPLIT and cuts[-1].get("type") == "ByteLevel"
+        plain = plain and model.get("type") == "BPE" and not (model.get("dropout") or model.get("continuing_subword_prefix") or model.get("ignore_merges"))
+        if plain and all(c + e in vocab for c in characters.values() for e in ("", end)):
+            pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+            self.merges = Merges(np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], np.int64).reshape(-1, 3))
+            self.first, self.last = (np.array([vocab[characters[b] + e] for b in range(256)], np.int32) for e in ("", end))
+
+    def lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all words, joined, and the number of tokens of each word."""
+        coded = words.dictionary_encode()
+        flat, starts, counts = self._distinct(coded.dictionary)
+        return picked(flat, starts, counts, coded.indices.to_numpy())
+
+    def ids(self, text: str) -> Iterator[np.ndarray]:
+        """Token ids of a text of any length, stretch by stretch."""
+        for part in stretches(text, TOKEN_SLICE):
+            yield self.lookup(split_words(pa.array([part], pa.string()))[0])[0]
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words: all joined, and where each word's begin and how many they are."""
+        starts, counts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        plain = np.zeros(len(words), bool)
+        if self.merges is not None and len(words):
+            plain = pc.match_substring_regex(words, _LATIN).to_numpy(zero_copy_only=False)
+        made = np.zeros(0, np.int32)
+        at = np.flatnonzero(plain)
+        if len(at):
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), words.filter(pa.array(plain))), "\n")
+            parts = pa.array(_PARTS.findall(joined[0].as_py().lower()), pa.string()).dictionary_encode()
+            index = parts.indices.to_numpy()
+            made, sizes = picked(*self._parts(parts.dictionary), index)
+            word = np.cumsum(index == pc.index(parts.dictionary, "\n").as_py())
+            counts[at] = np.bincount(word, sizes, minlength=len(at)).astype(np.int64)
+            starts[at] = np.cumsum(counts[at]) - counts[at]
+        rest = np.flatnonzero(~plain)
+        if len(rest):
+            coded = [e.ids for e in fast_tokenizer(self.path).encode_batch_fast(words.take(pa.array(rest)).to_pylist(), add_special_tokens=False)]
+            counts[rest] = list(map(len, coded))
+            starts[rest] = len(made) + np.cumsum(counts[rest]) - counts[rest]
+            made = np.concatenate([made, np.fromiter(chain.from_iterable(coded), np.int32, int(counts[rest].sum()))])
+        return made, starts, counts
+
+    def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of distinct lower-case parts; the line mark between words has none."""
+        parts = parts.cast(pa.large_string())
+        offsets = np.frombuffer(parts.buffers()[1], np.int64)[parts.offset : parts.offset + len(parts) + 1]
+        begin, sizes = offsets[:-1], np.diff(offsets)
+        data = np.frombuffer(parts.buffers()[2], np.uint8)
+        starts, counts = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        flat, total, order = [np.zeros(0, np.int32)], 0, np.argsort(sizes, kind="stable")
+        a = 0
+        while a < len(order) and sizes[order[a]] <= ROW_BYTES:
+            width = int(sizes[order[a]]) + 1  # parts of two lengths share their rows
+            b = min(int(np.searchsorted(sizes[order], width, side="right")), a + max(1, _SYMBOLS // width))
+            own = order[a:b]
+            places, lengths = np.arange(width), sizes[own]
+            inside = places < lengths[:, None]
+            raw = data[np.minimum(begin[own][:, None] + places, len(data) - 1)]
+            rows = np.where(inside, self.first[raw], np.int32(-1))
+            rows[np.arange(len(own)), lengths - 1] = self.last[raw[np.arange(len(own)), lengths - 1]]
+            rows[raw[:, 0] == 10] = -1
+            out = self.merges.merge(rows)
+            counts[own] = (out >= 0).sum(axis=1)
+            starts[own] = total + np.cumsum(counts[own]) - counts[own]
+            flat.append(out[out >= 0])
+            total += len(flat[-1])
+            a = b
+        characters = _byte_characters()
+        for i in order[a:].tolist():
+            ids = [t.id for t in fast_tokenizer(self.path).model.tokenize("".join(characters[c] for c in data[begin[i] : begin[i] + sizes[i]].tolist()))]
+            starts[i], counts[i] = total, len(ids)
+            flat.append(np.array(ids, np.int32))
+            total += len(ids)
+        return np.concatenate(flat), starts, counts
+
+
 class WordTable:
-    """Token ids by word. ``encode`` maps a list of words to a list of id sequences."""
+    """Token ids by word, held from slice to slice up to ``limit`` bytes of words; ``encode`` maps a list of words to a list of id sequences."""
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = TABLE_WORDS):
-        self.encode, self.limit = encode, limit
+    #: The longest word held, and what a held word costs beside its characters.
+    LONGEST, EACH = 48, 128
+
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = 24 << 20):
+        self.encode, self.room = encode, limit
         self.rows: dict[str, int] = {"": 0}
         self.ids = np.zeros(1 << 16, np.int32)
         self.offsets = np.zeros(1 << 12, np.int64)
 
-    def lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of all words, joined, and the number of tokens of each word."""
-        return self.gather(self.index(words))
-
     def index(self, words: pa.Array) -> np.ndarray:
         """Rows of all words; rows beyond the bound hold until the next call only."""
         coded = words.dictionary_encode()
@@ -61,11 +254,14 @@ class WordTable:
         rows = self.rows
         found = list(map(rows.get, texts))
         if None in found:
-            new = [w for w, r in zip(texts, found) if r is None]
-            fit = max(0, self.limit - len(rows))
-            keep = [w for w in new if len(w) <= TABLE_WORD_LENGTH][:fit]
-            kept = set(keep)
-            order = keep + [w for w in new if w not in kept]
+            keep, rest = [], []
+            for w, r in zip(texts, found):
+                if r is None:
+                    cost = self.EACH + len(w)
+                    held = len(w) <= self.LONGEST and cost <= self.room
+                    self.room -= cost * held
+                    (keep if held else rest).append(w)
+            order = keep + rest
             first = len(rows)
             self._store(first, order)
             at = {w: first + i for i, w in enumerate(order)}
@@ -75,11 +271,7 @@ class WordTable:
 
     def gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of rows, joined, and the number of tokens of each."""
-        starts = self.offsets[index]
-        counts = self.offsets[index + 1] - starts
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.arange(total) + np.repeat(starts - ends + counts, counts)], counts
+        return picked(self.ids, self.offsets[:-1], np.diff(self.offsets), index)
 
     def _store(self, row: int, words: list[str]) -> None:
         coded = self.encode(words)
@@ -97,103 +289,6 @@ class WordTable:
 
 
 @lru_cache(maxsize=1)
-def fast_tokenizer(path: str):
-    """A tokenizer file of the ``tokenizers`` library; strings of special tokens in a text are ordinary text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
-
-
-_TABLES: dict[tuple[str, str, str], WordTable] = {}
-
-
-def _held(stage: str) -> Callable[[Callable[[str], WordTable]], Callable[[str], WordTable]]:
-    """Keeps the two tables used last; a worker that comes to another kind of stage first drops what it has of the one before."""
-
-    def keep(make: Callable[[str], WordTable]) -> Callable[[str], WordTable]:
-        def found(path: str) -> WordTable:
-            key = (stage, make.__name__, path)
-            table = _TABLES.pop(key, None)
-            if table is None:
-                if any(k[0] != stage for k in _TABLES):
-                    _TABLES.clear()
-                    fast_tokenizer.cache_clear()
-                    sentence_processor.cache_clear()
-                while len(_TABLES) > 1:
-                    _TABLES.pop(next(iter(_TABLES)))
-                gc.collect()
-                give_back()
-                table = make(path)
-            _TABLES[key] = table
-            return table
-
-        found.__doc__ = make.__doc__
-        return found
-
-    return keep
-
-
-#: Characters of the plain Latin words that are cut and lower-cased here as the tokenizer file says.
-_LATIN = re.compile("[!-~\xa1-\xff]+")
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
-_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-
-
-def _byte_characters() -> dict[int, int]:
-    """The character that stands for each byte in byte-level vocabularies."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return dict(zip(plain, plain)) | {b: 256 + i for i, b in enumerate(rest)}
-
-
-@_held("packing")
-def fast_table(path: str) -> WordTable:
-    """Word table of such a tokenizer, for a vocabulary that drops white space.
-
-    Where the file has the lower-casing word splitter that ``_SPLIT`` names, plain Latin
-    words are cut here and only their distinct parts go to the model, which is several
-    times faster; all other words, and other files, go through the whole tokenizer.
-    """
-    tokenizer = fast_tokenizer(path)
-    whole = lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    steps = [n.get("type") for n in (spec["normalizer"] or {}).get("normalizers", [])]
-    first = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
-    if steps != ["NFC", "Replace", "Lowercase"] or first.get("pattern", {}).get("Regex") != _SPLIT:
-        return WordTable(whole)
-    model, table, parts = tokenizer.model, _byte_characters(), {}
-    shared = list(range(tokenizer.get_vocab_size()))  # one object for each id, however often it is held
-
-    def part(p: str) -> list[int]:
-        ids = parts.get(p)
-        if ids is None:
-            ids = [shared[t.id] for t in model.tokenize(p.encode().decode("latin-1").translate(table))]
-            if len(parts) < TABLE_WORDS // 3 and len(p) <= TABLE_WORD_LENGTH:
-                parts[p] = ids
-        return ids
-
-    def encode(words: list[str]) -> list[list[int]]:
-        out: list[list[int] | None] = []
-        for w in words:
-            if not _LATIN.fullmatch(w):
-                out.append(None)
-                continue
-            found = _PARTS.findall(w.lower())
-            out.append(part(found[0]) if len(found) == 1 else [i for p in found for i in part(p)])
-        if None in out:
-            at = [i for i, x in enumerate(out) if x is None]
-            for i, ids in zip(at, whole([words[i] for i in at])):
-                out[i] = ids
-        return out
-
-    return WordTable(encode)
-
-
-@lru_cache(maxsize=2)
 def sentence_processor(path: str):
     """A processor of the ``sentencepiece`` library."""
     import sentencepiece
@@ -201,16 +296,9 @@ def sentence_processor(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-@_held("fertility")
-def sentence_table(path: str) -> WordTable:
-    """Word table of such a processor; a word counts with the space before it."""
-    processor = sentence_processor(path)
-    return WordTable(lambda words: processor.encode(words, num_threads=1) if words else [])
-
-
-@_held("fertility")
-def ranks_table(path: str) -> WordTable:
-    """Word table of a ``tiktoken`` ranks file; a word counts with the space before it."""
+@lru_cache(maxsize=1)
+def ranks_coding(path: str):
+    """The coding of a ``tiktoken`` ranks file."""
     import base64
 
     import public_tokenizers
@@ -218,8 +306,7 @@ def ranks_table(path: str) -> WordTable:
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    coding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return WordTable(lambda words: [coding.encode_ordinary(" " + w) for w in words])
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def vocabulary(name: str) -> str:
