@@ -3,7 +3,8 @@
 One automaton over all keywords finds the only places where a keyed kind can start. The
 kind's expression is then matched anchored at that place, so no expression is ever searched
 for in running text (but for plain hexadecimal runs, which have no keyword). Kinds whose
-format embeds a checksum or a checkable header are kept only if it holds.
+format embeds a checksum or a checkable header are kept only if it holds; private key
+blocks have no such sum and are kept if their marks fit and their body is whole base 64.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import hashlib
 import json
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -84,10 +86,6 @@ def _web_token(m: re.Match) -> bool:
         return False
 
 
-def _always(m: re.Match) -> bool:
-    return True
-
-
 #: The base kinds that have keywords; hex has none and is found by its run.
 ASSIGN = Kind(
     "assign",
@@ -105,11 +103,16 @@ MORE = (
     Kind("agekey", ("age-secret-key-1",), re.compile("(?:AGE-SECRET-KEY-1[02-9AC-HJ-NP-Z]{58}|age-secret-key-1[02-9ac-hj-np-z]{58})(?![A-Za-z0-9])"), _bech32),
     Kind("nsec", ("nsec1",), re.compile("nsec1[02-9ac-hj-np-z]{58}(?![A-Za-z0-9])"), _bech32),
     Kind("webtoken", ("eyj",), re.compile("(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]{20,}"), _web_token),
-    Kind("pem", ("-----begin ",), re.compile("-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----[A-Za-z0-9+/=:,\\s-]{64,32768}?-----END \\1-----"), _always),
 )
+#: Private key blocks: found from both their marks, which the automaton gives, so that a block may have any length.
+_BEGIN = re.compile("-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----")
+_END = re.compile("-----END ((?:[A-Z]+ )*PRIVATE KEY)-----")
+_NOT_KEY = re.compile("[^A-Za-z0-9+/=:,\\s-]")
+_LEAST_KEY = 64
 KINDS = (ASSIGN, ACCESS, *MORE)
+_PEM_BEGIN, _PEM_END = len(KINDS), len(KINDS) + 1
 #: Order of kinds that start at one place: the base ones as their contract lists them, then the added ones.
-ORDER = ("assign", "access", "hex", *(k.name for k in MORE))
+ORDER = ("assign", "access", "hex", *(k.name for k in MORE), "pem")
 BASE = ("assign", "access", "hex")
 
 
@@ -122,6 +125,7 @@ def _automaton():
     for i, kind in enumerate(KINDS):
         for word in kind.keywords:
             owners.setdefault(word, []).append(i)
+    owners |= {"-----begin ": [_PEM_BEGIN], "-----end ": [_PEM_END]}
     for word, kinds in owners.items():
         found.add_word(word, (len(word), kinds))
     found.make_automaton()
@@ -143,17 +147,52 @@ def find(text: str) -> list[tuple[int, str, int]]:
     spans, taken = [], [0] * len(KINDS)
     hits = sorted((end + 1 - n, i) for end, (n, kinds) in _automaton().iter(low) for i in kinds)
     for start, i in hits:
-        if start < taken[i]:
+        if i >= _PEM_BEGIN or start < taken[i]:
             continue
         kind = KINDS[i]
         if m := kind.pattern.match(text, start):
             taken[i] = m.end()
             if kind.valid(m):
                 spans.append((start, ORDER.index(kind.name), m.end()))
+    if any(i == _PEM_BEGIN for _, i in hits):
+        spans += [(a, ORDER.index("pem"), b) for a, b in _keys(text, [a for a, i in hits if i == _PEM_BEGIN], [a for a, i in hits if i == _PEM_END])]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     return [(a, ORDER[k], b) for a, k, b in sorted(spans)]
 
 
+def _keys(text: str, begins: list[int], ends: list[int]) -> Iterator[tuple[int, int]]:
+    """Private key blocks: a BEGIN mark, then the nearest END mark of the same label with ``_LEAST_KEY`` characters of a key between.
+
+    Each character between marks is looked at once, however many marks there are.
+    """
+    closing: dict[str, list[re.Match]] = {}
+    for at in ends:
+        if m := _END.match(text, at):
+            closing.setdefault(m[1], []).append(m)
+    starts = {label: [m.start() for m in found] for label, found in closing.items()}
+    taken = wrong = 0
+    for at in begins:
+        m = _BEGIN.match(text, at) if at >= taken else None
+        if not m or m[1] not in closing:
+            continue
+        k = bisect_left(starts[m[1]], m.end() + _LEAST_KEY)
+        if k == len(starts[m[1]]):
+            continue
+        end = closing[m[1]][k]
+        if wrong < m.end():  # the next character that no key has, not yet known
+            found = _NOT_KEY.search(text, m.end())
+            wrong = found.start() if found else len(text)
+        if wrong >= end.start() and _is_base64(text[m.end() : end.start()]):
+            yield at, end.end()
+            taken = end.end()
+
+
+def _is_base64(body: str) -> bool:
+    """Whether the lines of a key block without the header lines (``Name: value``) are whole base 64."""
+    plain = "".join("".join(line.split()) for line in body.splitlines() if ":" not in line)
+    return len(plain) % 4 == 0 and re.fullmatch("[A-Za-z0-9+/]+={0,2}", plain) is not None
+
+
 def joined(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, k, b in spans)
 
@@ -173,6 +212,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     A null or empty text has no spans (and a null redacted text if it was null). Rows with
     one id, or a null id, are each scanned; other columns are ignored; no rows give no rows.
+    A text of any length is scanned whole, in time in proportion to it.
     """
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([T.StructField(id_col, typed(docs, id_col)), T.StructField("spans", T.ArrayType(span)), T.StructField("redacted", T.StringType())])

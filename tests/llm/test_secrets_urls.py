@@ -42,6 +42,36 @@ def test_checksums():
     assert [s[1] for s in secrets.find(master)] == ["wallet"] and secrets.find(master[:-1] + "j") == []
 
 
+def key_block(lines, label="RSA PRIVATE KEY", mark="\n"):
+    return f"-----BEGIN {label}-----{mark}" + mark.join("QUJD" * 16 for _ in range(lines)) + f"{mark}-----END {label}-----"
+
+
+def test_key_blocks_of_any_length():
+    for lines in (1, 500, 800):  # 500 lines end just under, 800 well over 32 KB
+        for mark in ("\n", "\r\n", "\n      "):
+            block = key_block(lines, mark=mark)
+            assert secrets.find(f"a {block} b") == [(2, "pem", 2 + len(block))]
+    two = key_block(2) + "\n" + key_block(3, "PRIVATE KEY")
+    assert [k for _, k, _ in secrets.find(two)] == ["pem", "pem"]
+    assert secrets.find("-----BEGIN RSA PRIVATE KEY-----\n" + key_block(2, "EC PRIVATE KEY"))[0][0] > 0
+    assert secrets.find(key_block(2).replace("QUJD", "QU.D", 1)) == [] and secrets.find(key_block(2)[:-20]) == []
+    header = key_block(2).replace("-----\n", "-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n", 1)
+    assert [k for _, k, _ in secrets.find(header)] == ["pem"]
+
+
+def test_many_marks_take_time_in_proportion():
+    import time
+
+    begin = "-----BEGIN RSA PRIVATE KEY-----\n"
+    times = []
+    for n in (5_000, 20_000):
+        text = begin * n + "?" + key_block(2)
+        start = time.process_time()
+        assert [k for _, k, _ in secrets.find(text)] == ["pem"]
+        times.append(time.process_time() - start)
+    assert times[1] < 12 * times[0] + 0.2
+
+
 def test_redaction():
     text = 'a token = "' + "deadbeef" * 4 + '" b AKIA' + "Z" * 16
     assert secrets.redact(text, secrets.find(text)) == 'a [ASSIGN]" b [ACCESS]'
