@@ -34,6 +34,9 @@ ACCEPTED = 0.3
 #: Hash buckets of the features.
 BITS = 15
 EPOCHS = 12
+GRAIN = 1 << 20
+#: Bytes of one text whose features are held at once.
+_BLOCK = 1 << 20
 UNKNOWN = "und"
 FAMILY = {
     code: family
@@ -58,17 +61,34 @@ _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature bucket at each place of all texts, and the number of places by text."""
-    raw = [b"  " + t.encode("utf-8", "surrogatepass") + b"  " for t in texts]
-    data = _FOLD[np.frombuffer(b"".join(raw), np.uint8)].astype(np.uint32)
-    sizes = np.array([len(r) for r in raw], np.int64)
-    three = data[:-3] | data[1:-2] << np.uint32(8) | data[2:-1] << np.uint32(16)
-    four = three | data[3:] << np.uint32(24)
-    hashed = [((x * np.uint32(c)) >> np.uint32(32 - BITS)).astype(np.int32) for x, c in ((three, 2654435761), (four, 2246822519))]
-    both = np.stack(hashed, axis=1)
-    both = np.concatenate([both, np.repeat(both[-1:], 3, axis=0)])  # the last places of the last text
-    return both.reshape(-1), 2 * sizes
+def features(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature bucket at each place of all texts, and the number of places by text.
+
+    Three spaces stand before each text, as long as the longest gram but one, so that no
+    gram holds letters of two texts and a text has the same features beside any others.
+    """
+    padded = [b"   " + t + b"  " for t in raw]
+    return _buckets(b"".join(padded) + b"   "), 2 * np.array([len(r) for r in padded], np.int64)
+
+
+def _buckets(data: bytes) -> np.ndarray:
+    """The two buckets at each place but the last three."""
+    folded = _FOLD[np.frombuffer(data, np.uint8)].astype(np.uint32)
+    three = folded[:-3] | folded[1:-2] << np.uint32(8) | folded[2:-1] << np.uint32(16)
+    four = three | folded[3:] << np.uint32(24)
+    return np.stack([((x * np.uint32(c)) >> np.uint32(32 - BITS)).astype(np.int32) for x, c in ((three, 2654435761), (four, 2246822519))], axis=1).reshape(-1)
+
+
+def feature_blocks(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """:func:`features` of all texts, or of one long text block by block."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    if len(raw) != 1 or len(raw[0]) <= _BLOCK:
+        yield features(raw)
+        return
+    data = b"   " + raw[0] + b"     "
+    for a in range(0, len(data) - 3, _BLOCK):
+        made = _buckets(data[a : a + _BLOCK + 3])
+        yield made, np.array([len(made)])
 
 
 def has_letter(text: str) -> bool:
@@ -77,7 +97,10 @@ def has_letter(text: str) -> bool:
 
 @dataclass
 class Machines:
-    """Pairwise linear machines: ``names``, pairs of their indices, and a column of weights for each pair."""
+    """Pairwise linear machines: ``names``, pairs of their indices, and a column of weights for each pair.
+
+    Weights are whole multiples of 1 / ``GRAIN``, so that sums over a text are exact in any order.
+    """
 
     names: list[str]
     pairs: list[tuple[int, int]]
@@ -101,7 +124,7 @@ def machines(vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[str]) ->
     """Trained by averaged stochastic subgradients of the hinge loss, in a fixed order."""
     names = sorted(set(labels))
     pairs = list(combinations(range(len(names)), 2))
-    weights = np.zeros((1 << BITS, len(pairs)), np.float32)
+    weights = np.zeros((1 << BITS, len(pairs)), np.int32)
     which = np.array([names.index(x) for x in labels])
     for k, (i, j) in enumerate(pairs):
         rows = np.flatnonzero((which == i) | (which == j))
@@ -116,7 +139,7 @@ def machines(vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[str]) ->
                     w[at] += balance[which[r]] * y * x * (0.5 / (1 + epoch))
             total += w
             steps += 1
-        weights[:, k] = total / steps
+        weights[:, k] = np.rint(total / steps * GRAIN)
     return Machines(names, pairs, weights)
 
 
@@ -132,29 +155,31 @@ class Model:
         """Language, score and family of each text; ``und`` without letters."""
         if not self.families.names:
             return [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts)
-        buckets, sizes = features(texts)
-        norm = np.sqrt(np.maximum(sizes, 1))[:, None]
-
-        def margins(m: Machines) -> np.ndarray:
-            if not m.pairs:
-                return np.zeros((len(texts), 0))
-            return np.stack([by_text(m.weights[:, k][buckets].astype(np.float64), sizes) for k in range(len(m.pairs))], axis=1) / norm
+        blocks = list(feature_blocks(texts)) if len(texts) > 1 else None
+
+        def margins(m: Machines, rows: np.ndarray | None = None) -> np.ndarray:
+            total, places = np.zeros((len(texts), len(m.pairs)), np.int64), np.zeros(len(texts), np.int64)
+            for buckets, sizes in blocks or feature_blocks(texts):
+                places += sizes
+                if rows is not None and not rows.all():
+                    buckets, sizes = buckets[np.repeat(rows, sizes)], np.where(rows, sizes, 0)
+                for k in range(len(m.pairs)):
+                    total[:, k] += by_text(m.weights[:, k][buckets].astype(np.int64), sizes)
+            out = total / GRAIN / np.sqrt(np.maximum(places, 1))[:, None]
+            return out if rows is None else out[rows]
 
         best, sure = self.families.votes(margins(self.families))
         langs, scores, families = [""] * len(texts), sure.copy(), [self.families.names[b] for b in best]
         for name, own in self.groups.items():  # outer before inner
             rows = np.array([f == name for f in families])
             if rows.any():
-                at = buckets[np.repeat(rows, sizes)]
-                inner = np.stack([by_text(own.weights[:, k][at].astype(np.float64), sizes[rows]) for k in range(len(own.pairs))], axis=1) / norm[rows]
-                for i, p, s in zip(np.flatnonzero(rows).tolist(), *own.votes(inner)):
+                for i, p, s in zip(np.flatnonzero(rows).tolist(), *own.votes(margins(own, rows))):
                     families[i] = own.names[p]
                     scores[i] = min(scores[i], s)
         for name, own in self.inside.items():
-            rows = [i for i, f in enumerate(families) if f == name]
-            if rows:
-                picked, inner = own.votes(margins(own)[rows])
-                for i, p, s in zip(rows, picked, inner):
+            rows = np.array([f == name for f in families])
+            if rows.any():
+                for i, p, s in zip(np.flatnonzero(rows).tolist(), *own.votes(margins(own, rows))):
                     langs[i] = own.names[p]
                     scores[i] *= s
         for i, t in enumerate(texts):
@@ -164,21 +189,25 @@ class Model:
 
 
 def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text and their counts over the root of its places."""
-    buckets, sizes = features([text])
-    at, counts = np.unique(buckets, return_counts=True)
-    return at, counts / np.sqrt(sizes[0])
+    """Distinct buckets of a text and their counts over the root of its places; never more than there are buckets."""
+    counts = sum(np.bincount(buckets, minlength=1 << BITS) for buckets, _ in feature_blocks([text]))
+    at = np.flatnonzero(counts)
+    return at, counts[at] / np.sqrt(counts.sum())
 
 
 def train(texts: list[str], labels: list[str]) -> Model:
     """A model from labelled texts; those without a letter teach nothing."""
     rows = [(t, x) for t, x in zip(texts, labels) if has_letter(t)]
-    vectors = [vector(t) for t, _ in rows]
-    families = [FAMILY.get(x, x) for _, x in rows]
+    return fit([vector(t) for t, _ in rows], [x for _, x in rows])
+
+
+def fit(vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[str]) -> Model:
+    """A model from labelled vectors."""
+    families = [FAMILY.get(x, x) for x in labels]
     inside = {}
     for name in sorted(set(families)):
         own = [i for i, f in enumerate(families) if f == name]
-        inside[name] = machines([vectors[i] for i in own], [rows[i][1] for i in own])
+        inside[name] = machines([vectors[i] for i in own], [labels[i] for i in own])
     names = sorted(set(families))
     if len(names) <= FLAT:
         return Model(machines(vectors, families), inside)
@@ -227,27 +256,39 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     Every language with such a row is learned. About ``sample`` rows of each are taken, all
     if there are fewer, by a hash of the id; beyond ``ROWS`` in all, about so many divided
-    by the number of languages, ``LEAST`` at least.
+    by the number of languages, ``LEAST`` at least. The driver gets the sampled rows'
+    vectors, never texts: at most 2**``BITS`` counts a row however long its text is.
     """
     own = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].cast("string").alias("text"), docs[f"`{lang_col}`"].cast("string").alias("lang"), held_out(docs, id_col).alias("out"))
     own = own.where("NOT out AND id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
-        return Model(Machines([], [], np.zeros((1 << BITS, 0), np.float32)), {})
+        return Model(Machines([], [], np.zeros((1 << BITS, 0), np.int32)), {})
     sample = min(sample, max(LEAST, ROWS // len(counts)))
     places = 1 << 30
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(places, -(-places * sample // r["count"])))))
-    rows = own.where(F.pmod(F.xxhash64("id"), F.lit(places)) < F.try_element_at(share, F.col("lang"))).select("id", "text", "lang").collect()
-    rows.sort(key=lambda r: (str(r["id"]), r["text"]))
-    return train([r["text"] for r in rows], [r["lang"] for r in rows])
+    taken = own.where(F.pmod(F.xxhash64("id"), F.lit(places)) < F.try_element_at(share, F.col("lang"))).select(F.col("id").cast("string"), "text", "lang")
+    rows = taken.mapInArrow(_vectors, "id string, lang string, at binary, counts binary").collect()
+    rows.sort(key=lambda r: (r["id"], r["lang"], r["at"], r["counts"]))
+    return fit([(np.frombuffer(r["at"], np.uint16).astype(np.int64), np.frombuffer(r["counts"], np.float64)) for r in rows], [r["lang"] for r in rows])
+
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The vectors of texts with a letter."""
+    for piece in slices(batches):
+        made = [vector(t) if has_letter(t) else None for t in piece.column(1).to_pylist()]
+        keep = pa.array([m is not None for m in made])
+        at, counts = (pa.array([m[k].astype(kind).tobytes() for m in made if m], pa.binary()) for k, kind in ((0, np.uint16), (1, np.float64)))
+        yield pa.RecordBatch.from_arrays([piece.column(0).filter(keep), piece.column(2).filter(keep), at, counts], names=["id", "lang", "at", "counts"])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", passing: tuple[str, ...] = ()) -> DataFrame:
     """``id, lang_pred, score, family`` of each row, then the ``passing`` columns as they came.
 
     ``und`` with score 0 if the text is null or has no letter, or if nothing was learned.
-    Repeated rows are each predicted; other columns are ignored; no rows give no rows.
-    The model is a few weights for each pair of languages and goes out with the tasks.
+    Repeated rows are each predicted; other columns are ignored; no rows give no rows. A
+    row's prediction is the same beside any other rows; a very long text is scored block by
+    block. The model is a few weights for each pair of languages, broadcast to the tasks.
     """
     schema = T.StructType(
         [T.StructField(id_col, typed(docs, id_col)), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("family", T.StringType())]

@@ -1,13 +1,15 @@
+import math
 import os
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
-from lexispark.llm import language, quality  # noqa: E402
+from lexispark.llm import hashing, language, quality  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 
@@ -98,3 +100,75 @@ def test_every_language_is_learned(spark):
     assert len(found) > 200 and {r["lang_pred"] for r in found} == {r["_passing_lang"] for r in found}
     assert sum(r["lang_pred"] == r["_passing_lang"] and r["score"] >= language.ACCEPTED for r in found) >= 0.98 * len(found)
     assert all(r["family"] == language.FAMILY.get(r["lang_pred"], r["lang_pred"]) for r in found)
+
+
+def test_a_score_is_the_same_beside_any_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.learn(docs, sample=60)
+    texts = [r["text"] for r in docs.select("text").limit(60).collect()] + ["", "x", "Straße", "12", "a" * 50]
+    alone = [tuple(x[0] for x in model.predict([t])) for t in texts]
+    for order in (range(len(texts)), reversed(range(len(texts))), np.random.default_rng(1).permutation(len(texts)).tolist()):
+        order = list(order)
+        together = list(zip(*model.predict([texts[i] for i in order])))
+        assert together == [alone[i] for i in order]
+    few, many = (sorted(map(tuple, language.identify(docs.repartition(n), model).collect())) for n in (1, 7))
+    assert few == many
+
+
+def test_a_long_text_is_scored_block_by_block(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.learn(docs, sample=60)
+    text = " ".join(r["text"] for r in docs.where("lang = 'de'").select("text").limit(20).collect())
+    expected, vector = model.predict([text]), language.vector(text)
+    monkeypatch.setattr(language, "_BLOCK", 999)
+    assert model.predict([text]) == expected and expected[0] == ["de"]
+    assert all((a == b).all() for a, b in zip(language.vector(text), vector))
+
+
+def plain_prediction(model, text):
+    """The rule in plain Python: count the grams, sum the weights, vote."""
+    data = language._FOLD[np.frombuffer(b"   " + text.encode() + b"     ", np.uint8)].tolist()
+    places = len(data) - 3
+
+    def buckets():
+        for i in range(places):
+            three = data[i] | data[i + 1] << 8 | data[i + 2] << 16
+            for x, c in ((three, 2654435761), (three | data[i + 3] << 24, 2246822519)):
+                yield (x * c & 0xFFFFFFFF) >> (32 - language.BITS)
+
+    def best(m):
+        wins, sure = [0.0] * len(m.names), [1.0] * len(m.names)
+        for k, (i, j) in enumerate(m.pairs):
+            margin = sum(int(m.weights[b, k]) for b in buckets()) / language.GRAIN / (2 * places) ** 0.5
+            p = 1 / (1 + math.exp(-4 * margin))
+            wins[i], wins[j] = wins[i] + p, wins[j] + 1 - p
+            sure[i], sure[j] = min(sure[i], p), min(sure[j], 1 - p)
+        top = max(range(len(wins)), key=lambda x: wins[x])
+        return m.names[top], sure[top]
+
+    family, sure = best(model.families)
+    lang, inner = best(model.inside[family])
+    return lang, sure * inner, family
+
+
+def test_predictions_against_a_plain_version(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.substring("text", 1, 300).alias("text"), "lang")
+    model = language.learn(docs, sample=60)
+    for r in language.identify(docs, model, passing=("text",)).limit(25).collect():
+        if language.has_letter(r["_passing_text"]):
+            lang, score, family = plain_prediction(model, r["_passing_text"])
+            assert (r["lang_pred"], r["family"]) == (lang, family) and abs(r["score"] - score) < 1e-9
+
+
+def test_counts_of_long_texts_and_words(monkeypatch):
+    draw = np.random.default_rng(2)
+    words = ["".join(draw.choice(list("abé"), int(n))) for n in draw.integers(1, 9, 3000)] + ["z" * 5000, "ab" * 4000]
+    texts = [" \n".join(words), "x" * 9000, " " + "y" * 4097 + " ", "a b", ""]
+    expected = [x.tolist() for x in hashing.word_hashes(texts)]
+    monkeypatch.setattr(hashing, "_BLOCK", 1000)
+    hashing._powers.cache_clear()
+    assert [x.tolist() for x in hashing.word_hashes(texts)] == expected
+    hashing._powers.cache_clear()
+    found = [x.tolist() for x in quality.fertility(texts[:1], quality.vocabulary("piece_bpe_32k.model"), quality.vocabulary("byte_bpe_multi_50k.tiktoken")).values()]
+    monkeypatch.setattr(quality, "_STRETCH", 700)
+    assert found == [x.tolist() for x in quality.fertility(texts[:1], quality.vocabulary("piece_bpe_32k.model"), quality.vocabulary("byte_bpe_multi_50k.tiktoken")).values()]
