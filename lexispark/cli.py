@@ -32,11 +32,10 @@ def banner(engine: Engine) -> str:
 
 
 def shown(result: Result) -> str:
-    """An answer as lines of id and file name."""
-    rows = result.documents().select("doc_id", "filename").collect()
-    if not rows:
-        return "  No documents found."
-    return "\n".join([f"  Found {len(rows)} document(s):", *(f"    [{r['doc_id']}] {r['filename']}" for r in rows)])
+    """An answer as lines of id and file name; rows come to the driver one partition at a time."""
+    rows = result.documents().select("doc_id", "filename").toLocalIterator()
+    lines = [f"    [{r['doc_id']}] {r['filename']}" for r in rows]
+    return "\n".join([f"  Found {len(lines)} document(s):", *lines]) if lines else "  No documents found."
 
 
 def answer(engine: Engine, line: str) -> str | None:

@@ -59,14 +59,14 @@ class Config:
     def validate(self) -> Config:
         """Raises ``ValueError`` for settings that don't fit; sizes that aren't positive get their defaults."""
         if not self.source.dir:
-            raise ValueError("source.dir is required")
+            raise ValueError("no source.dir given")
         if self.language not in LANGUAGES:
-            raise ValueError(f'language must be auto, english, russian, or mixed, got "{self.language}"')
+            raise ValueError(f"unknown language {self.language!r}: one of {', '.join(LANGUAGES)} is wanted")
         for name in ("stemming", "strip_accents", "normalize"):
             if getattr(self.index, name) != getattr(self.query, name):
-                raise ValueError(f"index.{name} and query.{name} must match")
+                raise ValueError(f"index and query need the same {name}")
         if self.storage.backend not in ("", "memory", "lsm"):
-            raise ValueError(f"storage.backend must be 'memory' or 'lsm', got \"{self.storage.backend}\"")
+            raise ValueError(f"unknown storage.backend {self.storage.backend!r}: memory or lsm is wanted")
         plain = StorageConfig()
         for name in ("block_size", "sst_size", "sst_num_per_level", "sst_block_size", "max_level"):
             if getattr(self.storage, name) <= 0:
@@ -95,10 +95,10 @@ def load(path: str) -> Config:
         with open(path, encoding="utf-8") as f:
             values = yaml.safe_load(f) or {}
     except OSError as e:
-        raise ValueError(f"read config {path}: {e}") from e
+        raise ValueError(f"cannot open {path}: {e}") from e
     except yaml.YAMLError as e:
-        raise ValueError(f"parse config {path}: {e}") from e
+        raise ValueError(f"{path} is not YAML: {e}") from e
     try:
         return _overlay(Config(), values).validate()
     except ValueError as e:
-        raise ValueError(f"invalid config: {e}") from e
+        raise ValueError(f"{path}: {e}") from e

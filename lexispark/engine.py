@@ -13,9 +13,10 @@ from . import config as configs
 from .functions import dates, text
 from .operators import index
 from .plans.parser import DateRange, Prefix, Wildcard, parse
-from .plans.planner import Plan, known, leaf_predicate
+from .plans.planner import Plan, known, leaf_predicate, leaf_start
 from .result import Result
 from .sources import documents as sources
+from .storage import Manifest, size_of
 
 
 @dataclass(frozen=True)
@@ -32,8 +33,9 @@ class Engine:
     """An index over documents ``doc_id, filename, text, date, start_date, end_date``.
 
     Documents are only ever added; a file that is added again is another document. With the
-    ``memory`` backend postings are cached; with ``lsm`` they are tables under ``data_dir``,
-    sorted by term inside each file, so that files and row groups are skipped by term.
+    ``memory`` backend postings are cached. With ``lsm`` documents, postings and terms are
+    tables under ``data_dir``, dealt and sorted by term, with a manifest of those that live:
+    a batch counts once it is written whole, and an engine on the same folder finds it again.
     """
 
     def __init__(self, spark: SparkSession, config: configs.Config | None = None):
@@ -43,9 +45,16 @@ class Engine:
         self.query_pipeline = text.pipeline(self.config, self.config.query)
         self.docs = spark.createDataFrame([], sources.SCHEMA)
         self.postings = spark.createDataFrame([], "term string, doc_id long")
+        self.terms: DataFrame | None = None
         self.strict = True
         self._cached: list[DataFrame] = []
-        self._batches = 0
+        self._state: dict = {"docs": [], "postings": [], "terms": [], "count": 0}
+        self._manifest = None
+        if self.config.storage.backend == "lsm":
+            self._manifest = Manifest(spark, self.config.storage.data_dir)
+            if found := self._manifest.read():
+                self._state = found
+                self._read()
 
     @classmethod
     def from_path(cls, spark: SparkSession, path: str) -> Engine:
@@ -65,22 +74,40 @@ class Engine:
 
     def add(self, files: DataFrame, meta: DataFrame | None = None) -> None:
         """Index ``filename, text`` rows; ids go on from those there are."""
-        first = self.docs.count()
-        docs = sources.numbered(files, meta, first)
-        made = index.postings(docs, self.index_pipeline)
-        if self.config.storage.backend == "lsm":
-            docs, made = self._stored(docs, "docs"), self._stored(made.repartition("term").sortWithinPartitions("term", "doc_id"), "postings")
+        self.add_documents(sources.numbered(files, meta, self._state["count"]))
+
+    def add_documents(self, docs: DataFrame) -> None:
+        """Index documents that have ids of their own, which must be new."""
+        if self._manifest:
+            docs = self._stored(docs, "docs")
+            made = self._stored(index.arranged(index.postings(docs, self.index_pipeline)), "postings")
+            self._stored(index.counted(made).repartitionByRange("term").sortWithinPartitions("term"), "terms")
         else:
-            docs, made = docs.persist(StorageLevel.MEMORY_AND_DISK), made.persist(StorageLevel.MEMORY_AND_DISK)
+            docs = docs.persist(StorageLevel.MEMORY_AND_DISK)
+            made = index.postings(docs, self.index_pipeline).persist(StorageLevel.MEMORY_AND_DISK)
             self._cached += [docs, made]
-        self.docs, self.postings = self.docs.unionByName(docs), self.postings.unionByName(made)
-        self._batches += 1
+        self._state["count"] += docs.count()
+        if self._manifest:
+            self._manifest.commit(self._state)
+            self._read()
+        else:
+            self.docs, self.postings = self.docs.unionByName(docs), self.postings.unionByName(made)
 
     def _stored(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.config.storage.data_dir}/{name}/batch={uuid.uuid4().hex}"
         df.write.parquet(path)
+        self._state[name] = [*self._state[name], path]
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _read(self) -> None:
+        """The tables that the manifest names; terms of several batches are added up."""
+        read = lambda name, schema: self.spark.read.schema(schema).parquet(*self._state[name])
+        if not self._state["docs"]:
+            return
+        self.docs, self.postings = read("docs", sources.SCHEMA), read("postings", "term string, doc_id long")
+        terms = read("terms", "term string, documents long")
+        self.terms = terms if len(self._state["terms"]) == 1 else terms.groupBy("term").agg(F.sum("documents").alias("documents"))
+
     def index_dir(self, path: str) -> None:
         files = sources.directory(self.spark, path, self.config.source.extensions, self.config.source.encoding)
         self.add(files, sources.metadata(self.spark, path))
@@ -102,16 +129,36 @@ class Engine:
         return Result(self.plan(text_).documents(self.docs), self)
 
     def plan(self, text_: str) -> Plan:
-        return Plan(parse(text_), self.postings, self.query_pipeline.terms_of, self.strict)
+        return Plan(parse(text_), self.postings, self.query_pipeline.terms_of, self.strict, self.terms)
 
     def search(self, *raw: str) -> Result:
         """Documents with all terms of some strings; unknown terms are left out, and if none is known nothing is found."""
         terms = list(dict.fromkeys(t for r in raw for t in self.query_pipeline.terms_of(r)))
-        terms = terms if len(terms) < 2 else known(self.postings, terms)
+        terms = terms if len(terms) < 2 else known(self.vocabulary, terms)
         return Result(index.having_all(self.postings, terms), self)
 
+    @property
+    def count(self) -> int:
+        """Documents that were added."""
+        return self._state["count"]
+
+    @property
+    def vocabulary(self) -> DataFrame:
+        """A table with all terms, each once where the index has stored them."""
+        return self.postings if self.terms is None else self.terms
+
     def _matching(self, node: Prefix | Wildcard) -> Result:
-        return Result(self.postings.where(leaf_predicate(node, self.strict)).select("doc_id").distinct(), self)
+        found, fits = self.postings, leaf_predicate(node, self.strict)
+        if self.terms is None or isinstance(node, Prefix):
+            found = found.where(fits)
+        else:
+            start = F.startswith(F.col("term"), F.lit(leaf_start(node)))
+            found = found.where(start).join(self.terms.where(start & fits), "term", "left_semi")
+        return Result(found.select("doc_id").distinct(), self)
+
+    def dictionary(self) -> DataFrame:
+        """``feature_id, term``: dense ids by first occurrence."""
+        return index.dictionary(self.docs, self.index_pipeline)
 
     def search_prefix(self, prefix: str) -> Result:
         return self._matching(Prefix(prefix))
@@ -125,7 +172,7 @@ class Engine:
         return Result(self.docs.where(dates.in_range(found.kind, found.start, found.end)).select("doc_id"), self)
 
     def stats(self) -> Stats:
-        row = index.stats(self.docs, self.postings).first()
+        row = index.stats(self.docs, self.vocabulary).first()
         return Stats(row["docs"], row["terms"], row["features"])
 
     def document(self, doc_id: int) -> DataFrame:
@@ -133,10 +180,15 @@ class Engine:
         return self.docs.where(F.col("doc_id") == doc_id).drop("text")
 
     def storage_report(self) -> str:
-        """Files of the stored tables; empty for the memory backend."""
-        if self.config.storage.backend != "lsm":
+        """Batches, files and bytes of the stored tables; empty for the memory backend."""
+        if not self._manifest:
             return ""
-        return f"  [Index tables]\n    Batches      : {self._batches}\n    Files        : {len(self.postings.inputFiles())}\n"
+        lines = []
+        for name in ("postings", "terms"):
+            paths = self._state[name]
+            files = len(self.spark.read.parquet(*paths).inputFiles()) if paths else 0
+            lines += [f"  [{name.capitalize()}]", f"    Batches      : {len(paths)}", f"    Files        : {files}", f"    Bytes        : {sum(size_of(self.spark, p) for p in paths)}"]
+        return "\n".join(lines) + "\n"
 
     def close(self) -> None:
         for df in self._cached:

@@ -40,3 +40,18 @@ def in_range(kind: str, start: str, end: str) -> Column:
     else:
         found = F.col("start_date").between(a, b)
     return F.coalesce(found, F.lit(False))
+
+
+def at_most(date: Column, end: str) -> Column:
+    """Whether a date is not after a day; a null one isn't."""
+    return F.coalesce(date <= F.lit(parse(end, "to")), F.lit(False))
+
+
+def at_least(date: Column, start: str) -> Column:
+    """Whether a date is not before a day; a null one isn't."""
+    return F.coalesce(date >= F.lit(parse(start, "from")), F.lit(False))
+
+
+def day(date: Column) -> Column:
+    """Days since 1970-01-01."""
+    return F.unix_date(date).cast("long")

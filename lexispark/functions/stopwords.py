@@ -1,4 +1,4 @@
-"""Stop words of English and Russian, in alphabetical order."""
+"""Stop words of English and Russian: fixed values, which results depend on word by word."""
 
 from __future__ import annotations
 

@@ -162,6 +162,10 @@ class Pipeline:
 
         return F.transform(found, one)
 
+    def _whole_text_will_do(self) -> bool:
+        """Whether lower-casing is all there is to do, which built-in functions do on the text as a whole."""
+        return self.split is tokens and self.normalize and not (self.strip_accents or self.stem_with or self.stop_words) and self.min_length <= 1
+
     def term(self, token: str) -> str | None:
         """All stages after splitting on one token."""
         if self.normalize:
@@ -182,6 +186,11 @@ class Pipeline:
         """
         found = self.split(F.col(text))
         found = found if positions else F.array_distinct(found)
+        if self._whole_text_will_do():
+            odd = F.col(text).rlike(composing()[:-1] + "\u0130\u03a3]")  # NFC, or lower case that looks at its neighbours
+            low = F.array_remove(F.split(F.lower(F.col(text)), SEPARATORS), "")
+            slow = self._plain(F.transform(found, composed))
+            return df.withColumn(out, F.when(odd, slow).otherwise(low if positions else F.array_distinct(low)))
         if not self.stem_with and not (self.strip_accents and self.normalize):
             if self.normalize:
                 found = F.when(F.col(text).rlike(composing()), F.transform(found, composed)).otherwise(found)

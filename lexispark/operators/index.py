@@ -1,15 +1,19 @@
 """Tables of an inverted index: postings, dictionary, grams, packed bitmaps, counts.
 
-Postings are keyed by term. Dense term ids are only made where asked for.
+Postings are keyed by term and made without a shuffle. A stored index holds them dealt by
+ranges of (term, document), so that files and row groups are skipped by term and a hot term
+lies in several of them; beside them lie its terms with their counts, so that patterns are
+matched once for each term and never for each posting. Dense term ids are only made where asked for.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kgrams
 from ..functions.text import Pipeline
+from .numbering import dense
 
 BLOCK = 1024
 
@@ -23,16 +27,34 @@ def tokens(docs: DataFrame, pipeline: Pipeline) -> DataFrame:
 def postings(docs: DataFrame, pipeline: Pipeline) -> DataFrame:
     """Distinct ``term, doc_id``. Terms are distinct inside a document before any row is made, so no shuffle is needed."""
     found = pipeline.analysed(docs.select("doc_id", "text"), positions=False)
-    return found.select(F.explode(F.array_distinct(F.filter("terms", lambda t: t.isNotNull()))).alias("term"), "doc_id")
+    return found.select(F.explode(F.array_distinct(F.array_compact("terms"))).alias("term"), "doc_id")
 
 
-def dictionary(found: DataFrame) -> DataFrame:
-    """``feature_id, term``: dense ids by first occurrence, from ``tokens``.
+def dictionary(docs: DataFrame, pipeline: Pipeline) -> DataFrame:
+    """``feature_id, term``: dense ids by first occurrence.
 
-    The one ordering of all terms runs on the distinct terms only.
+    Inside a document the order of first occurrence is that of its distinct terms, so only
+    these are compared; the ids come from sorted ranges, see :func:`numbering.dense`.
     """
-    first = found.groupBy("term").agg(F.min(F.struct("doc_id", "position")).alias("first"))
-    return first.select((F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("feature_id"), "term")
+    found = pipeline.analysed(docs.select("doc_id", "text"), positions=False)
+    placed = found.select("doc_id", F.posexplode(F.array_distinct(F.array_compact("terms"))).alias("place", "term"))
+    first = placed.groupBy("term").agg(F.min(F.struct("doc_id", "place")).alias("first"))
+    return dense(first, "first", number="feature_id").select("feature_id", "term")
+
+
+def lookup(ids: DataFrame, wanted: list[str]) -> DataFrame:
+    """``term, feature_id`` of those of some terms that a dictionary has."""
+    return ids.where(F.col("term").isin(*wanted)).select("term", "feature_id") if wanted else ids.select("term", "feature_id").where(F.lit(False))
+
+
+def counted(found: DataFrame) -> DataFrame:
+    """``term, documents``: the distinct terms of postings with the number of their documents."""
+    return found.groupBy("term").agg(F.count("*").alias("documents"))
+
+
+def arranged(found: DataFrame) -> DataFrame:
+    """Postings as a stored index wants them: dealt by ranges, sorted inside each."""
+    return found.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
 
 
 def terms(found: DataFrame) -> DataFrame:
@@ -93,5 +115,5 @@ def and_bitmaps(packed: DataFrame, wanted: list[str]) -> DataFrame:
 
 def stats(docs: DataFrame, found: DataFrame) -> DataFrame:
     """One row: documents, terms, and features (terms with postings)."""
-    counted = found.agg(F.count_distinct("term").alias("terms"))
-    return docs.agg(F.count("*").alias("docs")).crossJoin(counted).select("docs", "terms", F.col("terms").alias("features"))
+    counts = docs.select(F.lit(1).alias("docs"), F.lit(0).alias("terms")).unionByName(terms(found).select(F.lit(0).alias("docs"), F.lit(1).alias("terms")))
+    return counts.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("terms"), F.lit(0)).alias("terms")).select("docs", "terms", F.col("terms").alias("features"))

@@ -4,7 +4,9 @@ NOT only takes from what stands left of it, so every answer lies in the union of
 answers. A query therefore scans the postings once under the OR of its leaf predicates,
 which reach the files as filters, aggregates one flag for each leaf and document (partly
 before the one shuffle), and keeps the documents whose flags make the expression true.
-Date leaves are predicates on the documents, to which the flags are joined.
+Date leaves are predicates on the documents, to which the flags are joined. Where the
+index has a table of its terms, patterns are matched on that, and the postings are joined
+with the terms found; a literal start of a pattern still reaches the files as a filter.
 """
 
 from __future__ import annotations
@@ -31,17 +33,24 @@ def leaf_predicate(node: Node, strict: bool = True) -> Column:
     return kgrams.matching(F.col("term"), pattern)
 
 
-def known(postings: DataFrame, terms: list[str]) -> list[str]:
-    """Those of a few terms that occur at all, in their order."""
-    found = {r["term"] for r in postings.where(F.col("term").isin(*terms)).select("term").distinct().collect()}
-    return [t for t in terms if t in found]
+def leaf_start(node: Prefix | Wildcard) -> str:
+    """What every term that fits a prefix or pattern starts with."""
+    return (node.prefix if isinstance(node, Prefix) else node.pattern.split("*")[0]).lower()
+
+
+def known(terms: DataFrame, wanted: list[str]) -> list[str]:
+    """Those of a few terms that occur at all, in their order; ``terms`` is an index's table of terms, or else its postings."""
+    found = {r["term"] for r in terms.where(F.col("term").isin(*wanted)).select("term").distinct().collect()}
+    return [t for t in wanted if t in found]
 
 
 class Plan:
     """Leaf predicates of a tree and the expression over their flags."""
 
-    def __init__(self, tree: Node, postings: DataFrame, terms_of, strict: bool = True):
-        self.postings, self.terms_of, self.strict = postings, terms_of, strict
+    def __init__(self, tree: Node, postings: DataFrame, terms_of, strict: bool = True, terms: DataFrame | None = None):
+        self.postings, self.terms_of, self.strict, self.terms = postings, terms_of, strict, terms
+        self.starts: dict[str, Column] = {}
+        self.patterns = False
         self.leaves: dict[str, Column] = {}
         self.dates: dict[str, Column] = {}
         self._names: dict[Node | str, str] = {}
@@ -65,11 +74,14 @@ class Plan:
             return F.col(name)
         if isinstance(node, Term):
             return self._words(self.terms_of(node.raw))
-        return self._flag(node, leaf_predicate(node, self.strict))
+        self.patterns |= isinstance(node, Wildcard)
+        found = self._flag(node, leaf_predicate(node, self.strict))
+        self.starts[self._names[node]] = F.startswith(F.col("term"), F.lit(leaf_start(node)))
+        return found
 
     def _words(self, terms: list[str]) -> Column:
         # one term: an unknown one is simply false; of several, the unknown ones are left out
-        terms = terms if len(terms) < 2 else known(self.postings, terms)
+        terms = terms if len(terms) < 2 else known(self.postings if self.terms is None else self.terms, terms)
         if not terms:
             return F.lit(False)
         return reduce(lambda a, b: a & b, (self._flag(t, F.col("term") == t) for t in terms))
@@ -78,7 +90,12 @@ class Plan:
         """``doc_id`` of the documents that the tree finds."""
         if self.leaves:
             wanted = reduce(lambda a, b: a | b, self.leaves.values())
-            flags = self.postings.where(wanted).groupBy("doc_id").agg(*(F.max(p).alias(n) for n, p in self.leaves.items()))
+            if self.patterns and self.terms is not None:
+                start = reduce(lambda a, b: a | b, (self.starts.get(n, p) for n, p in self.leaves.items()))
+                fitting = self.terms.where(start & wanted).select("term", *(p.alias(n) for n, p in self.leaves.items()))
+                flags = self.postings.where(start).join(fitting, "term").groupBy("doc_id").agg(*(F.max(n).alias(n) for n in self.leaves))
+            else:
+                flags = self.postings.where(wanted).groupBy("doc_id").agg(*(F.max(p).alias(n) for n, p in self.leaves.items()))
         else:
             flags = None
         if not self.dates:

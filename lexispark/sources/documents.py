@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import parsed
+from ..operators.numbering import dense
 
 METADATA = "metadata.yaml"
 SCHEMA = "doc_id long, filename string, text string, date date, start_date date, end_date date"
@@ -47,9 +48,8 @@ def metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(files: DataFrame, dates: DataFrame | None = None, first: int = 0) -> DataFrame:
-    """Documents with ids from ``first`` by file name. Only the names are sorted in one place, not the texts."""
-    order = Window.orderBy("filename")
-    ids = files.select("filename").distinct().withColumn("doc_id", F.row_number().over(order).cast("long") - 1 + first)
+    """Documents with ids from ``first`` by file name. Only the names are sorted, not the texts, and not in one place."""
+    ids = dense(files.select("filename").distinct(), "filename", number="doc_id", first=first)
     found = files.join(ids, "filename")
     if dates is None:
         none = F.lit(None).cast("date")

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexispark.operators import kv
 
@@ -83,3 +84,100 @@ def test_merges(spark):
     assert {(r["key"], tuple(r["value"])) for r in kv.latest(log).collect()} == {("a", (2, 3)), ("b", (7,))}
     once = kv.compact(log)
     assert sorted(map(str, kv.compact(once).collect())) == sorted(map(str, once.collect()))
+
+
+def test_a_table_opened_again_finds_all(spark, tmp_path):
+    path, options = str(tmp_path / "kv"), kv.Options(tables_per_level=2, levels=3)
+    for n in range(5):
+        table = kv.Table(spark, path, options)
+        table.put(f"k{n}", b"%d" % n)
+        table.put("same", b"%d" % n)
+        table.close()
+        assert table.seq == 2 * n + 2
+    assert kv.Table(spark, path, options).get("same") == b"4" and len(rows(kv.Table(spark, path, options).scan("", "z"))) == 6
+
+
+def test_a_failed_write_changes_nothing(spark, table, monkeypatch):
+    table.put("a", b"1")
+    table.flush()
+    table.put("b", b"2")
+
+    def fails(*_):
+        raise OSError("disk")
+
+    monkeypatch.setattr(table, "_written", fails)
+    with pytest.raises(OSError, match="disk"):
+        table.flush()
+    monkeypatch.undo()
+    assert table.get("b") == b"2" and table.tables_per_level() == [1, 0, 0]
+    table.flush()
+    monkeypatch.setattr(table, "_written", fails)
+    with pytest.raises(OSError, match="disk"):
+        table.compact_level(1)
+    monkeypatch.undo()
+    assert rows(kv.Table(spark, table.path, table.options).scan("", "z")) == [("a", b"1"), ("b", b"2")]
+
+
+def test_two_writers_cannot_both_commit(spark, table):
+    other = kv.Table(spark, table.path, table.options)
+    table.put("a", b"1")
+    other.put("b", b"2")
+    table.flush()
+    with pytest.raises(RuntimeError, match="another writer"):
+        other.flush()
+
+
+def test_batches_cascade_and_count(spark, tmp_path):
+    told = []
+    hooks = kv.Hooks(on_flush=lambda *a: told.append(a[:2]), on_compaction=lambda *a: told.append(a))
+    table = kv.Table(spark, str(tmp_path / "kv"), kv.Options(tables_per_level=2, levels=3, hooks=hooks))
+    for n in range(4):
+        table.write_all(spark.createDataFrame([(f"k{n}", bytearray(b"v"), False)], "key string, value binary, deleted boolean"))
+    assert table.tables_per_level() == [0, 0, 1] and told == [(0, 1), (0, 1), (0, 1, 2), (0, 1), (0, 1), (0, 1, 2), (1, 2, 2)]
+    assert table.stats.flushes == 4 and table.stats.compactions == 3
+    assert len(rows(table.scan("", "z"))) == 4 and table.stats.reads == 1 and table.stats.bytes_read > 0
+    assert {r["measure"]: r["value"] for r in table.measures().collect()}["tables_level_2"] == 1
+
+
+def bits(*places):
+    out = bytearray(4096)
+    for p in places:
+        out[p // 8] |= 1 << p % 8
+    return bytes(out)
+
+
+def test_union_policy(spark, tmp_path):
+    table = kv.Table(spark, str(tmp_path / "kv"), kv.Options(tables_per_level=2, levels=3, policy=kv.UNION))
+    table.put("a", bits(1))
+    table.put("a", bits(2))
+    table.put("b", bits(9))
+    assert table.get("a") == bits(1, 2)
+    table.flush()
+    table.delete("b")
+    table.put("b", bits(7))
+    table.put("a", bits(4))
+    table.flush()
+    assert table.get("a") == bits(1, 2, 4) and table.get("b") == bits(7) and table.tables_per_level() == [0, 1, 0]
+    table.delete("a")
+    table.put("b", bits(8))
+    table.flush()
+    assert table.get("a") is None and rows(table.scan("", "z")) == [("b", bits(7, 8))]
+    halves = [kv.compact_bitmaps(table.log()), kv.compact_bitmaps(kv.compact_bitmaps(table.log()))]
+    assert len({str(sorted(map(str, h.collect()))) for h in halves}) == 1
+
+
+def test_numbers_as_keys(spark):
+    numbers = [0, 7, -1, -5, 1234567890123, 1234567890129, (1 << 63) - 1, -(1 << 63), -(1 << 63) + 1, 10**12]
+    keys = {r["n"]: r["k"] for r in spark.createDataFrame([(n,) for n in numbers], "n long").select("n", kv.keyed(F.col("n")).alias("k")).collect()}
+    assert len(set(keys.values())) == len(numbers) and sorted(numbers) == sorted(numbers, key=keys.get)
+
+
+def test_files_are_dealt_by_ranges_of_keys(spark, tmp_path):
+    table = kv.Table(spark, str(tmp_path / "kv"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        table.write_all(spark.range(2000).select(kv.keyed(F.col("id")).alias("key"), F.lit(b"v").alias("value"), F.lit(False).alias("deleted")))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    files = table.log().groupBy(F.input_file_name()).agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> ''").orderBy("a").collect()
+    assert len(files) > 1 and all(x["b"] < y["a"] for x, y in zip(files, files[1:]))
