@@ -1,15 +1,16 @@
 """Near-duplicates: SuperMinHash signatures, banding, verification on full sets, union-find.
 
-1. Each document becomes a set of word shingles, a fingerprint of the whole set, and a
+1. Each document becomes a set of word shingles, a digest (BLAKE2b) of the whole sorted set, and a
    SuperMinHash signature. Documents with equal sets are one class from here on (a group of
    exact copies is one row, summed before any shuffle), represented by its smallest id.
 2. Signatures are cut into bands. In each bucket every representative is paired with the
    bucket's smallest one only, never with all others.
 3. Pairs are verified on the full shingle sets, in rounds: first one pair for each document,
    then what still joins two components, then, for buckets that still hold several
-   components, all pairs across them, block by block: signatures drop what can't reach the
-   similarity, and full sets decide on the rest inside the task. No pair is capped or
-   sampled; only pairs inside one verified component are left out, as they can change nothing.
+   components, the pairs across them, block by block: only sets whose sizes allow the
+   similarity meet, signatures drop what can't reach it, and full sets decide on the rest
+   inside the task. No pair is capped or sampled; only pairs inside one verified component
+   are left out, as they can change nothing. Blocks are bounded by the bytes of their sets.
 4. Components of the verified links are found by large-star and small-star rounds.
 
 At similarity 0.8 a pair shares no band with probability (1 - 0.8**5)**32, about 3e-6.
@@ -18,10 +19,12 @@ At similarity 0.8 a pair shares no band with probability (1 - 0.8**5)**32, about
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
+from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,8 +34,8 @@ from .hashing import mix, shingle_sets
 SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 32, 5
-#: Documents of a still divided bucket that are compared with as many others in one task.
-BLOCK = 512
+#: Documents of a still divided bucket that are compared with as many others in one task, and bytes of their sets at most (or one set).
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 #: Signature agreement below which a pair can't reach the similarity: six deviations of an ordinary MinHash below it.
 _SLACK = 6.0
 #: Elements that the signature kernel handles at once.
@@ -105,13 +108,13 @@ def signed(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int
                 keys = mix(keys * np.uint64(0xD6E8FEB86659FD93) + signature[:, i::rows])
             keys = mix(keys + np.arange(bands, dtype=np.uint64))
             small = mix(signature).astype(np.uint8)
-            sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(values ^ np.uint64(s)), dtype=np.uint64)]) for s in (0xA5A5, 0x5A5A5A)]
-            prints = np.stack([mix(s[offsets[1:]] - s[offsets[:-1]] + np.diff(offsets).astype(np.uint64)) for s in sums], axis=1)
+            raw, ends = memoryview(values).cast("B"), (8 * offsets).tolist()
+            prints = [blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays(
                 [
                     piece.column(0).cast(pa.int64()),
                     pa.array(np.diff(offsets)),
-                    pa.array([p.tobytes() for p in prints], pa.binary()),
+                    pa.array(prints, pa.binary()),
                     pa.array(list(keys.view(np.int64)), arrow.field("bands").type),
                     pa.array([s.tobytes() for s in small], pa.binary()),
                 ],
@@ -146,6 +149,15 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "id")
 
 
+def extended(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """Roots after more links: only the components that these join are gone through again."""
+    ends = [roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
+    between = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    top = cut(components(between), "roots")
+    moved = roots.join(top.select(F.col("id").alias("root"), F.col("root").alias("new")), "root", "left")
+    return cut(moved.select("id", F.coalesce("new", "root").alias("root")).union(top), "roots")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets reach the similarity; ``sets`` has ``id, n, shingles``."""
     sides = [sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab"]
@@ -181,30 +193,57 @@ def _divided(buckets: DataFrame, roots: DataFrame, reps: DataFrame, percent: int
 
     Buckets whose largest component is the same are compared together, so that a member of
     a large group comes once and not once for each band. The largest component's own
-    members are never compared with each other. Members are dealt into blocks; a task
-    compares one pair of blocks by signatures. Returns ``main, x, y, against_main`` (the
-    task) and ``id, root, n, rest, signature`` of each member with a candidate in the task:
-    one row for a member and task, however many candidates it has there.
+    members are never compared with each other. Members fall into classes of size, of which
+    only neighbours can be similar; each class is dealt into blocks, by number and by bytes
+    of the sets; a task compares one pair of blocks by signatures. Returns the task (group,
+    lower class, whether the classes differ, blocks, and whether the main component's
+    members are the right side) and ``id, root, n, rest, upper, signature`` of each member with a
+    candidate in the task: one row for a member and task, however many candidates it has there.
     """
     joined = buckets.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     parts = joined.groupBy("key", "root").agg(F.count("*").alias("size"))
     heads = parts.groupBy("key").agg(F.max(F.struct("size", "root")).alias("top"), F.sum("size").alias("all"), F.count("*").alias("parts"))
     heads = heads.where("parts > 1 AND all > 2").select("key", F.col("top.root").alias("main"))  # two members were a star
-    members = cut(joined.join(heads, "key").select("main", "id", "root").distinct(), "members")
+    step = 1.0001 * log(100 / percent)
     rest = F.col("root") != F.col("main")
-    sizes = members.groupBy("main").agg(F.count(F.when(~rest, 1)).alias("n_main"), F.count(F.when(rest, 1)).alias("n_rest"))
-    members = members.join(sizes, "main").join(reps.select("id", "n", "signature"), "id")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    spread = F.pmod(F.xxhash64("id"), F.when(rest, blocks("n_rest")).otherwise(blocks("n_main"))).cast("int")
-    members = members.withColumn("rest", rest).withColumn("block", spread)
-    own, others = F.col("block"), F.sequence(F.lit(0), blocks("n_rest") - 1)
-    # a task is (block of the rest, block of the main ones) or two blocks of the rest
-    for_main = F.transform(others, lambda r: F.struct(r.alias("x"), own.alias("y"), F.lit(True).alias("against_main")))
-    for_rest = F.concat(
-        F.transform(others, lambda r: F.struct(F.greatest(r, own).alias("x"), F.least(r, own).alias("y"), F.lit(False).alias("against_main"))),
-        F.transform(F.sequence(F.lit(0), blocks("n_main") - 1), lambda b: F.struct(own.alias("x"), b.alias("y"), F.lit(True).alias("against_main"))),
-    )
-    tasks = members.withColumn("task", F.explode(F.when(F.col("rest"), for_rest).otherwise(for_main)))
+    members = joined.join(heads, "key").select("main", "id", "root").distinct().join(reps.select("id", "n", "signature"), "id")
+    members = cut(members.withColumn("rest", rest).withColumn("class", F.floor(F.log("n") / step).cast("int")), "members")
+    fit = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES / 8) / F.exp((F.col("class") + 1) * step))))
+    blocks = members.groupBy("main", "rest", "class").agg(F.ceil(F.count("*") / fit).cast("int").alias("blocks"))
+
+    def beside(shift: int, of_rest: bool, name: str) -> DataFrame:
+        """Blocks of the class beside each class, none being 0."""
+        return blocks.where(F.col("rest") == of_rest).select("main", (F.col("class") - shift).alias("class"), F.col("blocks").alias(name))
+
+    names = {(shift, of_rest): f"{'rest' if of_rest else 'main'}_{shift + 1}" for shift in (-1, 0, 1) for of_rest in (True, False)}
+    plan = blocks.select("main", "class").distinct()
+    for (shift, of_rest), name in names.items():
+        plan = plan.join(beside(shift, of_rest, name), ["main", "class"], "left")
+    members = members.join(plan.fillna(0, list(names.values())), ["main", "class"])
+    count = F.when(F.col("rest"), F.col(names[0, True])).otherwise(F.col(names[0, False]))
+    members = members.withColumn("block", F.pmod(F.xxhash64("id"), count).cast("int"))
+
+    def tasks_with(shift: int, other_rest: bool, own_rest: bool) -> Column:
+        """Tasks of a member with the blocks of a class beside its own; ``x`` is a block of the rest, of the lower class if both are."""
+        own, other = F.col("block"), F.sequence(F.lit(0), F.col(names[shift, other_rest]) - 1)
+        low = F.least(F.col("class"), F.col("class") + shift)
+
+        def task(b):
+            if own_rest and other_rest:
+                x, y = (own, b) if shift > 0 else (b, own) if shift < 0 else (F.greatest(own, b), F.least(own, b))
+                mode = 0
+            else:
+                # which side of the class pair the rest is on makes another task
+                x, y = (own, b) if own_rest else (b, own)
+                mode = 1 + (0 if shift == 0 else 1 if (shift > 0) == own_rest else 2)
+            return F.struct(low.alias("low"), F.lit(shift != 0).alias("apart"), x.alias("x"), y.alias("y"), F.lit(mode).alias("mode"), F.lit(shift < 0).alias("upper"))
+
+        empty = F.array().cast("array<struct<low:int,apart:boolean,x:int,y:int,mode:int,upper:boolean>>")
+        return F.when(F.col(names[shift, other_rest]) > 0, F.transform(other, task)).otherwise(empty)
+
+    for_rest = F.concat(*(tasks_with(shift, other, True) for shift in (-1, 0, 1) for other in (True, False)))
+    for_main = F.concat(*(tasks_with(shift, True, False) for shift in (-1, 0, 1)))
+    tasks = members.select("main", F.explode(F.when(F.col("rest"), for_rest).otherwise(for_main)).alias("task"), "id", "root", "n", "rest", "signature")
     least = percent / 100 - _SLACK * float(np.sqrt(percent / 100 * (1 - percent / 100) / m))
 
     def compare(table: pa.Table) -> pa.Table:
@@ -214,17 +253,27 @@ def _divided(buckets: DataFrame, roots: DataFrame, reps: DataFrame, percent: int
             near[j] = True
         return table.filter(pa.array(near))
 
-    columns = ["main", "x", "y", "against_main", "id", "root", "n", "rest", "signature"]
-    schema = "main long, x int, y int, against_main boolean, id long, root long, n long, rest boolean, signature binary"
-    return tasks.select("main", "task.*", "id", "root", "n", "rest", "signature").select(columns).groupBy(columns[:4]).applyInArrow(compare, schema)
+    schema = "main long, low int, apart boolean, x int, y int, mode int, id long, root long, n long, rest boolean, upper boolean, signature binary"
+    columns = [c.split()[0] for c in schema.split(", ")]
+    tasks = tasks.select("main", "task.*", "id", "root", "n", "rest", "signature").select(columns)
+    return tasks.groupBy(TASK).applyInArrow(compare, schema)
+
+
+#: What names a task of :func:`_divided`.
+TASK = ["main", "low", "apart", "x", "y", "mode"]
 
 
 def _candidates(table: pa.Table, percent: int, m: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
     """Each position of a task's left side with those on its right that size and signature allow, of other components."""
     roots, n, rest = (table.column(c).to_numpy() for c in ("root", "n", "rest"))
     signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(n), m)
-    left = np.flatnonzero(rest)
-    right = np.flatnonzero(~rest) if table.column("against_main")[0].as_py() else left
+    if table.column("mode")[0].as_py():  # the rest against members of the main component
+        left, right = np.flatnonzero(rest), np.flatnonzero(~rest)
+    elif table.column("apart")[0].as_py():  # two classes of the rest
+        upper = table.column("upper").to_numpy()
+        left, right = np.flatnonzero(~upper), np.flatnonzero(upper)
+    else:
+        left = right = np.flatnonzero(rest)
     for i in left.tolist():
         near = right[(roots[right] != roots[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
         near = near[(signatures[near] == signatures[i]).mean(axis=1) >= least] if len(near) else near
@@ -265,7 +314,7 @@ def _joining(tasks: DataFrame, sets: DataFrame, percent: int, m: int) -> DataFra
                     found.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
         return pa.table({"a": pa.array([int(a) for a, _ in found], pa.int64()), "b": pa.array([int(b) for _, b in found], pa.int64())})
 
-    grouped = tasks.join(sets.select("id", "shingles"), "id").groupBy("main", "x", "y", "against_main")
+    grouped = tasks.join(sets.select("id", "shingles"), "id").groupBy(TASK)
     return grouped.applyInArrow(compare, "a long, b long").distinct()
 
 
@@ -285,7 +334,9 @@ def near_duplicates(
     without words (null, empty, white space) have no shingles and link with nothing.
     Repeated rows come back as often as they came, with one component; rows of one id with
     different sets are one document that links by each of them. A row with a null id links
-    with nothing and is kept. An empty table gives no rows; other columns are ignored.
+    with nothing and is kept. An empty table gives no rows; other columns are ignored. A very
+    long text is one set, hashed block by block; a task holds no more than two blocks of
+    sets, or two single sets that are larger.
     """
     base = cut(signed(docs, id_col, text_col, shingle, bands, rows), "signatures")
     with_set = base.where("n > 0 AND id IS NOT NULL")
@@ -305,13 +356,12 @@ def near_duplicates(
     rest = _open(stars.join(first, ["a", "b"], "left_anti"), roots)
     more = cut(verified(rest, sets, percent), "verified")
     if not more.isEmpty():
-        links = links.union(more)
-        roots = cut(components(links), "roots")
+        roots = extended(roots, more)
     tasks = cut(_divided(shared.select("key", "id").distinct(), roots, reps, percent, bands * rows), "divided")
     if not tasks.isEmpty():
         more = cut(_joining(tasks, sets, percent, bands * rows), "verified")
         if not more.isEmpty():
-            roots = cut(components(links.union(more)), "roots")
+            roots = extended(roots, more)
     labelled = reps.join(roots, "id", "left").select("print", F.coalesce("root", "id").alias("root"))
     out = with_set.join(labelled, "print").select("id", "n", "root")
     out = out.union(base.where("NOT (n > 0 AND id IS NOT NULL)").select("id", "n", "id"))

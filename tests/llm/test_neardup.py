@@ -112,6 +112,30 @@ def test_divided_groups_are_joined_in_small_blocks(docs_of, monkeypatch):
     assert run(docs_of(rows), shingle=4) == brute(rows, 4)
 
 
+def test_divided_groups_of_many_sizes(docs_of, monkeypatch):
+    """Chains of ever shorter copies, so that links lead across classes of size."""
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 2000)
+    rng, rows = random.Random(8), []
+    for _ in range(3):
+        text = [f"v{rng.randrange(900)}" for _ in range(400)]
+        for size in rng.sample(range(40, 400), 22):
+            own = text[:size]
+            for _ in range(rng.choice((0, 0, 1, 2))):
+                own[rng.randrange(size)] = f"z{rng.randrange(9)}"
+            rows.append((len(rows) * 7 % 66, " ".join(own)))
+    assert run(docs_of(rows), shingle=4) == brute(rows, 4)
+
+
+def test_roots_after_more_links(spark):
+    rng = random.Random(4)
+    first, more = ([(rng.randrange(60), rng.randrange(60)) for _ in range(25)] for _ in range(2))
+    table = lambda links: spark.createDataFrame(links, "a long, b long")
+    found = dict(neardup.extended(neardup.components(table(first)), table(more)).collect())
+    whole = dict(neardup.components(table(first + more)).collect())
+    assert {k: v for k, v in found.items() if k != v} == whole
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i + 1, i) for i in range(20)] + [(100 + i, 99) for i in range(30)] + [(99, 98), (7, 7)]
     rng = random.Random(3)
