@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -64,10 +65,50 @@ def test_added_spans(docs_of):
     assert spans[4].startswith("ssn:10:21") and spans[5].startswith("email_words:9:")
 
 
+def test_long_addresses_and_many_matches(docs_of):
+    user, host = "u" * 90, "h" * 70
+    rows = [(1, f"write to {user} [at] {host} [dot] {'d' * 30} [dot] com [dot] co [dot] org today, mail"), (2, "mail a@b.com now " * 700), (3, "x" + "\0" + "a@b.com\0\0c@d.org")]
+    rows += [(10 + i, "write to joe [at] mail [dot] org today") for i in range(8)]
+    found = {r["doc_id"]: r for r in pii.digest(docs_of(rows)).collect()}
+    assert found[1]["spans"] == f"email_words:9:{len(rows[0][1]) - 12}"
+    check(rows[1:3], [found[2], found[3]])
+
+
+def test_time_grows_with_the_matches(docs_of):
+    import time
+
+    seconds = []
+    for n in (4_000, 4_000, 64_000):
+        start = time.time()
+        row = pii.digest(docs_of([(1, "write joe.smith@mail.org " * n)])).first()
+        seconds.append(time.time() - start)
+        assert row["n_email"] == n
+    assert seconds[2] < 16 * seconds[1]
+
+
+def added(text):
+    """Candidates of the looser kinds by plain searches."""
+    spans = []
+    for kind in pii.MORE:
+        spans += [(kind, *m.span()) for m in regex.finditer(pii._LOOSE[kind], text)]
+    return spans
+
+
+def test_candidates_against_plain_searches(docs_of):
+    texts = [
+        "call (702) 555-0742, 702.555.0742 or 1-702-555-0742", "DE89 3704 0044 0532 0130 00 and GB29NWBK60161331926819 xDE893704", "00:1a:2B:3c:4d:5e 00:1a:2B:3c:4d:5e:6f",
+        "536-22-1234 536-22-12345 x536-22-1234", "joe [at] mail [dot] org, a.b(at)c.de ab[at]c-d (dot) ef.gh", "nothing here",
+    ]
+    rows = list(enumerate(texts))
+    for r in pii.candidates(docs_of(rows)).collect():
+        got = sorted((pii.KINDS[c["kind"]], c["start"], c["end"]) for c in r["c"] if c["kind"] >= len(pii.BASE))
+        assert got == sorted(added(texts[r["id"]])), texts[r["id"]]
+
+
 def test_reliabilities_find_the_good_labeler():
     # labeler 0 is right, 1 is a coin, 2 abstains
     counts = [((1, 1, 0), 45), ((1, -1, 0), 45), ((-1, 1, 0), 5), ((-1, -1, 0), 60), ((1, 1, 1), 30), ((-1, -1, -1), 30)]
-    share, chances, belief = pii.reliabilities(counts)
+    share, chances, belief = pii.reliabilities(counts, labelers=3)
     assert 0 < share < 1 and belief[(1, 1, 1)] > 0.9 > 0.1 > belief[(-1, -1, -1)]
     assert chances[0][1][0] > chances[0][1][1] and pii.reliabilities([])[2] == {}
 
