@@ -109,11 +109,20 @@ def test_url_rules():
 
 
 def test_url_vocabulary():
-    words = urls.Vocabulary(urls.STRICT, urls.SOFT)
-    assert words.count("https://casino-win.example.com/") == (1, 1)
-    assert words.count("https://casinos.example.com/winner") == (0, 0)
-    assert words.count("https://FREE-bets.x/free") == (0, 2)
-    assert urls.Vocabulary((), ()).count("x") == (0, 0)
+    words = urls.Vocabulary(urls.parsed())
+    assert words.count("https://casino-win.example.com/") == (1, 1, 9)
+    assert words.count("https://casinoss.example.com/winnerr") == (0, 0, 0)
+    assert words.count("https://FREE-bets.x/free") == (0, 2, 6)
+    assert urls.Vocabulary({}).count("x") == (0, 0, 0)
+    assert not words.rejects(0, 2, 5) and words.rejects(0, 2, 6) and words.rejects(1, 0, 6)
+    own = urls.Vocabulary(urls.parsed("9 bad\n1 a b\n\n8 c c\n2 b"), strict=9)
+    assert own.count("bad/a.b.b/c") == (1, 3, 20) and not own.rejects(*own.count("a.b")) and own.rejects(*own.count("b-c"))
+
+
+def test_a_long_url_is_judged_whole(spark):
+    long = "http://x.org/" + "a-" * 400_000 + "free/" + "b/" * 400_000 + "pills"
+    table = spark.createDataFrame([(1, long), (2, long[:-2])], "page_id long, url string")
+    assert [(r["verdict"], r["n_soft"], len(r["path"])) for r in urls.judge(table).orderBy("page_id").collect()] == [("block", 2, len(long) - 12), ("allow", 1, len(long) - 14)]
 
 
 def test_url_judgement(spark):
