@@ -48,12 +48,39 @@ _BSD_NAME = (
 )
 _BSD_END = (
     "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
-    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+    "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+    "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+    "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+    "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
 _ISC = (
-    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
-    "above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL "
-    "WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted{} THE SOFTWARE IS "
+    "PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY "
+    "AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER "
+    "RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+    "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+_ISC_NOTICE = ", provided that the above copyright notice and this permission notice appear in all copies."
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+    "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+    "applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be "
+    "misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the "
+    "product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be "
+    "misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+)
+_BOOST = (
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation "
+    "covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare "
+    "derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The "
+    "copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following "
+    "disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies "
+    "or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS "
+    "PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS "
+    "FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE "
+    "FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE "
+    "USE OR OTHER DEALINGS IN THE SOFTWARE."
 )
 _APACHE = (
     "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may "
@@ -62,18 +89,26 @@ _APACHE = (
     "or implied. See the License for the specific language governing permissions and limitations under the License."
 )
 _GPL = (
-    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-    "the Free Software Foundation, either version {} of the License, or (at your option) any later version. This program is distributed in the "
-    "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
-    "PURPOSE. See the GNU General Public License for more details."
+    "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software "
+    "Foundation, either version {2} of the License, or (at your option) any later version. This {0} is distributed in the hope that it will be "
+    "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} "
+    "for more details."
 )
+_GENERAL, _LESSER, _AFFERO = "General Public License", "Lesser General Public License", "Affero General Public License"
 _MPL = (
     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
     "file, You can obtain one at http://mozilla.org/MPL/2.0/."
 )
 _UNLICENSE = (
     "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
-    "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In "
+    "jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to "
+    "the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend "
+    "this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE "
+    "SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+    "DEALINGS IN THE SOFTWARE."
 )
 
 
@@ -90,10 +125,16 @@ TEMPLATES = (
     Template("MIT", _MIT_GRANT, ("sublicense",)),
     Template("BSD-3-Clause", _BSD_START + _BSD_NAME + _BSD_END, ("endorse", "binary")),
     Template("BSD-2-Clause", _BSD_START + _BSD_END, ("binary",)),
-    Template("ISC", _ISC, ("fee",)),
+    Template("ISC", _ISC.format(_ISC_NOTICE), ("fee", "appear")),
+    Template("0BSD", _ISC.format("."), ("fee",)),
+    Template("Zlib", _ZLIB, ("misrepresented",)),
+    Template("BSL-1.0", _BOOST, ("machine-executable",)),
     Template("Apache-2.0", _APACHE, ("apache", "2.0")),
-    Template("GPL-3.0", _GPL.format("3"), ("gnu", "3")),
-    Template("GPL-2.0", _GPL.format("2"), ("gnu", "2")),
+    Template("GPL-3.0", _GPL.format("program", _GENERAL, "3"), ("gnu", "3")),
+    Template("GPL-2.0", _GPL.format("program", _GENERAL, "2"), ("gnu", "2")),
+    Template("LGPL-3.0", _GPL.format("library", _LESSER, "3"), ("lesser", "3")),
+    Template("LGPL-2.1", _GPL.format("library", _LESSER, "2.1"), ("lesser", "2.1")),
+    Template("AGPL-3.0", _GPL.format("program", _AFFERO, "3"), ("affero", "3")),
     Template("MPL-2.0", _MPL, ("mozilla", "2.0")),
     Template("Unlicense", _UNLICENSE, ("unencumbered",)),
     Template("MIT", "Released under the MIT License.", ("license", "mit")),
@@ -263,7 +304,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     ``licenses`` joins ``name:start:end`` (code points, end exclusive) by commas, by start;
     ``coverage`` is the highest, 0 without any. Null and empty texts have none; repeated
-    rows are each scanned; other columns are ignored; an empty table gives no rows.
+    rows are each scanned; other columns are ignored; an empty table gives no rows; a text of
+    any length is scanned whole.
     """
     schema = T.StructType(
         [T.StructField(id_col, typed(docs, id_col)), T.StructField("n_licenses", T.LongType()), T.StructField("licenses", T.StringType()), T.StructField("coverage", T.DoubleType())]
