@@ -12,6 +12,7 @@ coverage; a template counts from ``COVERAGE`` on.
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_left, insort
 from collections import Counter
 from dataclasses import dataclass
@@ -244,8 +245,11 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
     automaton, owners, prepared = _prepared()
     if not _mentions(_lower(text), automaton):
         return []
-    tokens = words(text)
-    plain = [w for w, _, _ in tokens]
+    plain, starts, ends, same = [], array("q"), array("q"), {}
+    for m in _WORD.finditer(_lower(text)):  # equal words are one object, places are plain numbers: a long text stays small
+        plain.append(same.setdefault(m[0], m[0]))
+        starts.append(m.start())
+        ends.append(m.end())
     places: dict[str, list[int]] = {}
     for at, w in enumerate(plain):
         if w in owners:
@@ -254,7 +258,7 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
     for i in sorted(i for w in places for i in owners[w]):
         template = TEMPLATES[i]
         for pairs, size in _aligned(plain, places[template.telling[0]], template, *prepared[i]):
-            made.add((len(pairs), tokens[pairs[0][0]][1], tokens[pairs[-1][0]][2], template.name, len(pairs) / size))
+            made.add((len(pairs), starts[pairs[0][0]], ends[pairs[-1][0]], template.name, len(pairs) / size))
     out: list[tuple[int, int, str, float]] = []
     for _, s, e, name, share in sorted(made, key=lambda m: (-m[0], -m[4], m[2] - m[1], m[1:4])):
         k = bisect_left(out, (s,))

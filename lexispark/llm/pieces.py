@@ -218,9 +218,11 @@ class Lattice:
                 at += len(self.pieces[i])
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of ids: marks are spaces, byte pieces are bytes, and the first space goes."""
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
+        ids = np.asarray(ids, np.int64)
+        blocks = (ids[a : a + _CHUNKS].tolist() for a in range(0, len(ids), _CHUNKS))
+        text = b"".join(b"".join(map(self.raw.__getitem__, own)) for own in blocks).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
 
 
@@ -315,23 +317,21 @@ class _Text:
         self.words += len(chunks)
         self.pieces += len(ids)
 
-    def nbest(self, lattice: Lattice, known: dict) -> list[tuple[float, np.ndarray, bool]]:
-        """Score, ids, and whether each changed word still spells the same, of the ``n`` best segmentations."""
+    def nbest(self, lattice: Lattice, known: dict) -> Iterator[tuple[float, np.ndarray, bool]]:
+        """Score, ids, and whether each changed word still spells the same, of the ``n`` best segmentations, one after the other."""
         ids = np.concatenate(self.ids) if self.ids else np.zeros(0, np.int32)
         totals: list[tuple[float, int, tuple]] = [(0.0, 0, ())]
         for _, i, chunk, start, count in sorted(self.open, key=lambda x: x[1]):
             ways = _ways(lattice, known, chunk, self.n)
             more = [(lost + ways[0][0] - s, m + 1, (*key, (i, r, start, count, tuple(w), chunk))) for lost, m, key in totals for r, (s, w) in enumerate(ways[1:], 1)]
             totals = nsmallest(self.n, totals + more)
-        out = []
         for lost, _, key in totals:
             own, at, same = [], 0, True
             for _, _, start, count, way, chunk in key:
                 own += [ids[at:start], np.array(way, np.int32)]
                 at = start + count
                 same &= b"".join(map(lattice.raw.__getitem__, way)) == chunk.encode("utf-8", "surrogatepass")
-            out.append((self.score - lost, np.concatenate([*own, ids[at:]]) if own else ids, same))
-        return out
+            yield self.score - lost, np.concatenate([*own, ids[at:]]) if own else ids, same
 
 
 def _solved(texts: list[str], path: str, n: int) -> Iterator[_Text]:
@@ -394,20 +394,18 @@ def segment(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         is_byte[list(lattice.byte_ids.values())] = True
         out: dict[str, list] = {f.name: [] for f in schema.fields}
         for key, text, made in zip(keys, texts, _solved(texts, path, n)):
-            found = made.nbest(lattice, known)
-            best = found[0][1]
-            for name, value in (
-                (id_col, key),
-                ("n_pieces", len(best)),
-                ("n_bytes", int(is_byte[best].sum())),
-                ("score", found[0][0]),
-                ("nbest_crc32", [zlib.crc32(x.astype("<u4").tobytes()) for _, x, _ in found]),
-                ("nbest_scores", [s for s, _, _ in found]),
-                ("round_trip", all(same for *_, same in found) and lattice.decode(best.tolist()) == text),
-            ):
+            scores, sums, every, whole = [], [], [], True
+            for k, (score, own, same) in enumerate(made.nbest(lattice, known)):
+                scores.append(score)
+                sums.append(zlib.crc32(own.astype("<u4").tobytes()))
+                whole &= same
+                if k == 0:
+                    size, n_bytes, whole = len(own), int(np.count_nonzero(is_byte[own])), lattice.decode(own) == text
+                if ids:
+                    every.append(own.tolist())
+            row = (key, size, n_bytes, scores[0], sums, scores, whole, every)
+            for name, value in zip(out, row):
                 out[name].append(value)
-            if ids:
-                out["nbest_ids"].append([x.tolist() for _, x, _ in found])
         return out
 
     return map_texts(docs, id_col, text_col, schema, kernel, limit=TOKEN_SLICE)
