@@ -219,7 +219,8 @@ def _divided(buckets: DataFrame, roots: DataFrame, reps: DataFrame, percent: int
     plan = blocks.select("main", "class").distinct()
     for (shift, of_rest), name in names.items():
         plan = plan.join(beside(shift, of_rest, name), ["main", "class"], "left")
-    members = members.join(plan.fillna(0, list(names.values())), ["main", "class"])
+    # a table of its own, so that its size is known, or else a large group is split in the join
+    members = members.join(cut(plan.fillna(0, list(names.values())), "blocks"), ["main", "class"])
     count = F.when(F.col("rest"), F.col(names[0, True])).otherwise(F.col(names[0, False]))
     members = members.withColumn("block", F.pmod(F.xxhash64("id"), count).cast("int"))
 
