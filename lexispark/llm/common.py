@@ -117,6 +117,22 @@ def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(df[f"`{id_col}`"].alias("_id"), df[f"`{text_col}`"].cast("string").alias("_text"))
 
 
+def passed_on(df: DataFrame, text_col: str, passing: tuple[str, ...]) -> tuple[list, Callable[[pa.RecordBatch, int], list]]:
+    """Columns to send besides the text so that ``passing`` ones come out as they came, and how to take those from a batch whose first such column is at a place.
+
+    The text itself, which is nearly all there is, is sent once: where it is passed on, it is
+    the batch's second column.
+    """
+    twice = text_col in passing and isinstance(typed(df, text_col), T.StringType)
+    sent = [c for c in passing if not (twice and c == text_col)]
+
+    def take(batch: pa.RecordBatch, first: int) -> list:
+        rest = iter(batch.columns[first:])
+        return [batch.column(1) if twice and c == text_col else next(rest) for c in passing]
+
+    return [df[f"`{c}`"].alias(f"_passing_{c}") for c in sent], take
+
+
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _arrow_schema, slices, typed
+from .common import _arrow_schema, passed_on, slices, typed
 from .tokens import by_text
 
 #: Expected documents for each language to learn from, and from which number of all on they are fewer for each (but not under LEAST).
@@ -295,13 +295,14 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         + [T.StructField(f"_passing_{c}", typed(docs, c)) for c in passing]
     )
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent, take = passed_on(docs, text_col, passing)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = _arrow_schema(schema)
         for piece in slices(batches):
             langs, scores, families = shared.value.predict([t or "" for t in piece.column(1).to_pylist()])
-            out = [piece.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(families, pa.string()), *piece.columns[2:]]
+            out = [piece.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(families, pa.string()), *take(piece, 2)]
             yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(out, arrow)], schema=arrow)
 
-    own = docs.select(docs[f"`{id_col}`"].alias("_id"), docs[f"`{text_col}`"].cast("string").alias("_text"), *(docs[f"`{c}`"].alias(f"_passing_{c}") for c in passing))
+    own = docs.select(docs[f"`{id_col}`"].alias("_id"), docs[f"`{text_col}`"].cast("string").alias("_text"), *sent)
     return own.mapInArrow(run, schema)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _arrow_schema, slices, typed, words_of
+from .common import _arrow_schema, passed_on, slices, typed, words_of
 from .hashing import mix, windows, word_hashes
-from .tokens import by_text, ranks_coding, sentence_processor, stretches, vocabulary
+from .tokens import by_text, picked, ranks_coding, sentence_processor, split_words, stretches, vocabulary
 
 #: Bytes of text handled at once.
 _SLICE = 1 << 20
@@ -86,13 +87,20 @@ def repeated_words(hashes: np.ndarray, first: np.ndarray, k: int = WINDOW) -> np
     return by_text(cover[:-1], np.diff(first))
 
 
-def _spaced(text: str) -> tuple[str, int]:
-    """The words of a text with one space between them, and the characters in them."""
-    words = words_of(text)
-    if len(text) > _WORD and max(map(len, words), default=0) > _WORD:
-        words = [w[a : a + _WORD] for w in words for a in range(0, len(w), _WORD)]
-    joined = " ".join(words)
-    return joined, len(joined) - max(0, len(words) - 1)
+def _cut(word: str) -> str:
+    """A word, or a very long one as several with spaces between."""
+    return word if len(word) <= _WORD else " ".join(word[a : a + _WORD] for a in range(0, len(word), _WORD))
+
+
+def _piece_ids(texts: list[str], processor) -> tuple[list[np.ndarray], np.ndarray]:
+    """Piece ids of each text, of which each distinct word is encoded once, and the characters in its words."""
+    words, per_text = split_words(pa.array(texts, pa.string()))
+    coded = words.dictionary_encode()
+    made = processor.encode([_cut(w) for w in coded.dictionary.to_pylist()], num_threads=1)
+    sizes = np.fromiter(map(len, made), np.int64, len(made))
+    flat = np.fromiter(chain.from_iterable(made), np.int32, int(sizes.sum()))
+    ids, counts = picked(flat, np.cumsum(sizes) - sizes, sizes, coded.indices.to_numpy())
+    return np.split(ids, np.cumsum(by_text(counts, per_text))[:-1]), by_text(pc.utf8_length(words).to_numpy(), per_text)
 
 
 def fertility(texts: list[str], pieces: str, ranks: str) -> dict[str, np.ndarray]:
@@ -100,19 +108,21 @@ def fertility(texts: list[str], pieces: str, ranks: str) -> dict[str, np.ndarray
     processor, coding = sentence_processor(pieces), ranks_coding(ranks)
     is_byte = np.fromiter(map(processor.is_byte, range(processor.vocab_size())), bool)
     tokens, others, characters, in_bytes = (np.zeros(len(texts), np.int64) for _ in range(4))
-    entropy = np.zeros(len(texts))
-    for k, text in enumerate(texts):
-        times = np.zeros(1, np.int64)
-        for part in stretches(text, _STRETCH):
-            joined, size = _spaced(part)
-            characters[k] += size
-            others[k] += len(coding.encode_ordinary(" " + joined)) if size else 0
-            own = np.bincount(np.array(processor.encode(joined), np.int64), minlength=len(times))
-            own[: len(times)] += times
-            times = own
-        tokens[k] = times.sum()
-        in_bytes[k] = times[is_byte[: len(times)]].sum()
-        share = times[times > 0] / max(1, tokens[k])
+    entropy, times = np.zeros(len(texts)), [np.zeros(1, np.int64)] * len(texts)
+    long = len(texts) == 1 and len(texts[0]) > 2 * _STRETCH
+    for group in ([part] for part in stretches(texts[0], _STRETCH)) if long else [texts]:
+        found, sizes = _piece_ids(group, processor)
+        characters += sizes
+        for k, (text, ids) in enumerate(zip(group, found)):
+            own = np.bincount(ids, minlength=len(times[k]))
+            own[: len(times[k])] += times[k]
+            times[k] = own
+            joined = " ".join(map(_cut, words_of(text)))
+            others[k] += len(coding.encode_ordinary(" " + joined)) if joined else 0
+    for k, own in enumerate(times):
+        tokens[k] = own.sum()
+        in_bytes[k] = own[is_byte[: len(own)]].sum()
+        share = own[own > 0] / max(1, tokens[k])
         entropy[k] = -(share * np.log2(share)).sum()
     some = np.maximum(tokens, 1)
     return {
@@ -166,6 +176,8 @@ def rules(
         + [T.StructField(f"_passing_{c}", typed(docs, c)) for c in passing]
     )
 
+    sent, take = passed_on(docs, text_col, passing)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = _arrow_schema(schema)
         for piece in slices(batches, limit=_SLICE):
@@ -189,9 +201,9 @@ def rules(
                 rejected.append(",".join(reasons({k: float(v[i]) for k, v in found.items()}, band)))
             kept = ~failed & np.array([not r for r in rejected])
             out = [piece.column(0), *(pa.array(counts[c]) for c in count_names), pa.array(failed), pa.array(kept), pa.array(found["n_tokens"])]
-            out += [pa.array(found[c]) for c in measures] + [pa.array(rejected), *piece.columns[3:]]
+            out += [pa.array(found[c]) for c in measures] + [pa.array(rejected), *take(piece, 3)]
             yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(out, arrow)], schema=arrow)
 
     lang = docs[f"`{lang_col}`"].cast("string") if lang_col else F.lit(None).cast("string")
-    own = docs.select(docs[f"`{id_col}`"].alias("_id"), docs[f"`{text_col}`"].cast("string").alias("_text"), lang.alias("_lang"), *(docs[f"`{c}`"].alias(f"_passing_{c}") for c in passing))
+    own = docs.select(docs[f"`{id_col}`"].alias("_id"), docs[f"`{text_col}`"].cast("string").alias("_text"), lang.alias("_lang"), *sent)
     return own.mapInArrow(run, schema)
