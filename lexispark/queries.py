@@ -76,6 +76,11 @@ def _engine(spark: SparkSession, sf_dir: str) -> Engine:
     return Engine(spark, _OPEN[key])
 
 
+def build_index(spark: SparkSession, sf_dir: str) -> None:
+    """Builds the stored index now, where the first search query would."""
+    _engine(spark, sf_dir)
+
+
 def _query(spark: SparkSession, sf_dir: str, text_: str) -> DataFrame:
     return _engine(spark, sf_dir).query(text_).ids
 
