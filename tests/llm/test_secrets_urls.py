@@ -108,6 +108,13 @@ def test_url_rules():
     assert known.match("xcom", "/en/") is None and known.match("", "") is None and known.match("a.com", "/de/") is None
 
 
+def test_url_rules_are_those_of_the_contract():
+    assert {rule: verdict for verdict, rule in urls.RULES} == {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    known = urls.Rules(urls.RULES)
+    assert known.match("casino.net", "/de/8") == ("net/de/", "allow") and known.match("www.example.net", "/de/8") == ("example.net/de/8", "block")
+    assert all(f"WHEN rule = '{rule}' THEN '{verdict}'" in urls.oracle() for verdict, rule in urls.RULES)
+
+
 def test_url_vocabulary():
     words = urls.Vocabulary(urls.parsed())
     assert words.count("https://casino-win.example.com/") == (1, 1, 9)
