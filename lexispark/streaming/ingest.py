@@ -23,7 +23,8 @@ def ingest(stream: DataFrame, pipeline: Pipeline, path: str, checkpoint: str, **
         rows.write.mode("overwrite").parquet(f"{path}/docs/batch={number}")
         stored = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/docs/batch={number}")
         made = index.postings(stored, pipeline)
-        index.arranged(made).write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
+        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        index.arranged(made, n).write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
