@@ -111,3 +111,26 @@ def test_forced_language_is_a_label_only(spark):
     df = spark.createDataFrame([(1, "running dogs")], "doc_id long, text string")
     row = text.process(df, own).first()
     assert row["lang"] == "russian" and row["terms"] == ["run", "dog"]
+
+
+def test_changing_letters_are_found_in_few_steps():
+    # nested ranges: no class lists more than a few, so that a character isn't held against all of them
+    import re
+
+    found = text.composing()
+    assert max(len(re.findall(r"\\x\{[0-9a-f]+\}-", part)) for part in re.split(r"&&\[|\]", found)) <= 5
+    assert all(re.search(rf"\\x\{{{c:x}\}}-|-\\x\{{{c:x}\}}", found) for c in (0x374, 0x2f800))
+
+
+def test_tokens_of_many_rows_are_mapped_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(text, "TOKENS", 3)
+    monkeypatch.setattr(text, "REMEMBERED", 2)
+    rows = [["Café", "THE", "ran"], None, [], ["running", "é", "of", "книги", "Café"], ["x"]]
+    own = text.Pipeline(strip_accents=True, stop_words=text.stop_words(), stem_with=text.stem_any)
+    want = [None if r is None else [own.term(t) for t in r] for r in rows]
+    array = pa.array(rows, pa.list_(pa.string()))
+    assert text._mapped(array, own).to_pylist() == want and text._mapped(array.slice(2), own).to_pylist() == want[2:]
+    assert text._mapped(array.slice(1, 1), own).to_pylist() == [None]
+    assert not text.is_cyrillic("abc") and text.is_cyrillic("aж")
