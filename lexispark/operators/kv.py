@@ -62,6 +62,12 @@ def compact_bitmaps(log: DataFrame, keep_deleted: bool = True) -> DataFrame:
     return joined.unionByName(gone.where("gone IS NOT NULL").select("key", F.lit(None).cast("binary").alias("value"), F.col("gone").alias("seq"), F.lit(True).alias("deleted")))
 
 
+def bit(position: Column) -> Column:
+    """A packed bitmap of one bit position (from 0), without the zeros that would follow: unions and counts take it as one of 4 KB."""
+    last = F.get(F.array(*(F.lit(f"{1 << i:02x}") for i in range(8))), (position % 8).cast("int"))
+    return F.unhex(F.concat(F.repeat(F.lit("00"), F.floor(position / 8).cast("int")), last))
+
+
 @dataclass(frozen=True)
 class Policy:
     """``compact(log, keep_deleted)`` gives a smaller log that reads the same; without deletions it is what readers see."""

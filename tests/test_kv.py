@@ -181,3 +181,12 @@ def test_files_are_dealt_by_ranges_of_keys(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.enabled")
     files = table.log().groupBy(F.input_file_name()).agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> ''").orderBy("a").collect()
     assert len(files) > 1 and all(x["b"] < y["a"] for x, y in zip(files, files[1:]))
+
+
+def test_a_bitmap_of_one_bit_is_short_and_unites_like_a_packed_one(spark):
+    rows = spark.createDataFrame([(p,) for p in (0, 7, 8, 15, 999, 32_767)], "p long")
+    short = rows.select("p", kv.bit(rows["p"]).alias("b"))
+    assert {r["p"]: bytes(r["b"]) for r in short.collect()} == {r["p"]: bytes(r["p"] // 8) + bytes([1 << r["p"] % 8]) for r in rows.collect()}
+    log = short.where("p < 1000").selectExpr("'k' AS key", "b AS value", "p AS seq", "false AS deleted")
+    packed = rows.where("p < 1000").selectExpr("bitmap_construct_agg(p) AS b").first()["b"]
+    assert [bytes(r["value"]) for r in kv.UNION.read(log).collect()] == [bytes(packed)]
